@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bpe, packing, records
+from loomcast.llm import bpe, mpeg, packing, records, warc
 from loomcast.llm.shared import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as they are read back from the archives."""
+    back = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents by the merge ranks, and what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -30,6 +36,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as MPEG audio, and what is read back from it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
+    back = mpeg.read_media(mpeg.write_media(docs).drop("text"))
+    payload = F.col("audio.payload")
+    return back.select(
+        "doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("audio.feature").alias("feature"),
+    )
+
+
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents as they are read back from the record files."""
     manifest = records.write_records(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
@@ -38,7 +55,7 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op8_bpe, op10_records)}
+    return {f.__name__: f for f in (op1_packing, op6_warc, op8_bpe, op9_mpeg, op10_records)}
 
 
 def oracle_sql() -> dict[str, str]:
