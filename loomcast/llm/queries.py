@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bpe, mpeg, packing, records, warc
+from loomcast.llm import bpe, embeddings, langid, mpeg, packing, records, simhash, warc
 from loomcast.llm.shared import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,12 +22,31 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.98."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, keep=~held_out)
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "language.*")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as they are read back from the archives."""
     back = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles of all documents, linked at 3 or fewer differing bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents by the merge ranks, and what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,7 +74,7 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op6_warc, op8_bpe, op9_mpeg, op10_records)}
+    return {f.__name__: f for f in (op1_packing, op2_embeddings, op4_language, op6_warc, op7_simhash, op8_bpe, op9_mpeg, op10_records)}
 
 
 def oracle_sql() -> dict[str, str]:
