@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bpe, embeddings, langid, mpeg, packing, records, simhash, warc
+from loomcast.llm import bpe, embeddings, langid, mpeg, packing, records, simhash, substrings, warc
 from loomcast.llm.shared import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "language.*")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without words that repeated windows of 35 words cover."""
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as they are read back from the archives."""
     back = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0))
@@ -74,7 +80,7 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_embeddings, op4_language, op6_warc, op7_simhash, op8_bpe, op9_mpeg, op10_records)}
+    return {f.__name__: f for f in (op1_packing, op2_embeddings, op4_language, op5_substrings, op6_warc, op7_simhash, op8_bpe, op9_mpeg, op10_records)}
 
 
 def oracle_sql() -> dict[str, str]:
