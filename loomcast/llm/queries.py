@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bpe, embeddings, langid, mpeg, packing, records, simhash, substrings, warc
+from loomcast.llm import bpe, embeddings, langid, lines, mpeg, packing, records, simhash, substrings, warc
 from loomcast.llm.shared import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,11 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document that an earlier line is at least 0.8 similar to."""
+    return lines.removed_lines(table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -80,7 +85,7 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_embeddings, op4_language, op5_substrings, op6_warc, op7_simhash, op8_bpe, op9_mpeg, op10_records)}
+    return {f.__name__: f for f in (op1_packing, op2_embeddings, op3_lines, op4_language, op5_substrings, op6_warc, op7_simhash, op8_bpe, op9_mpeg, op10_records)}
 
 
 def oracle_sql() -> dict[str, str]:
