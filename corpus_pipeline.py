@@ -1,7 +1,65 @@
-"""The training-data pipeline (see loomcast.llm)."""
-STAGES = []
+"""The training-data pipeline: language ID, line dedup, SimHash near-dedup, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of ``documents``. ``run`` writes each stage's rows in the shared folder and reads them again as the
+next one's documents, so a lost executor never goes back more than one stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomcast.llm import langid, lines, near_documents, packing, substrings
+from loomcast.llm.shared import table, written
+
+#: Several stages iterate or sample hashes, which SQL cannot state; tests compare them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _same_columns(found: DataFrame, docs: DataFrame, text) -> DataFrame:
+    """The columns of ``docs``, with the new text and its length."""
+    return found.select(*[text.alias("text") if c == "text" else F.when(F.col("text").eqNullSafe(text), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is learnable from the labelled ones; texts without a letter and texts
+    between two languages go."""
+    model = langid.train(docs)
+    found = langid.identify(docs, model, out="loom_language")
+    return found.where("loom_language.lang_pred <> 'und' and not loom_language.ambiguous").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that an earlier line is at least 0.8 similar to."""
+    kept = lines.dedup_lines(docs.withColumn("loom_old", F.col("text")), threshold=0.8, shingle=5)
+    changed = ~F.col("text").eqNullSafe(F.col("loom_old"))
+    return kept.select(*[F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: 5-word shingles, similarity 0.8 or more."""
+    return near_documents.distinct_documents(docs, width=5, similarity=0.8)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 35 words or more that are anywhere else too; others stay as they are."""
+    found = substrings.remove_repeats(docs, window=35)
+    return _same_columns(found, docs, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 tokens, with their ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), context=2048, end_id=1)
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("pack", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
