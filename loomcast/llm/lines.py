@@ -30,32 +30,38 @@ CELLS = 1 << 16
 HASH_BITS = 56
 
 
-def tokens_of(line: Column, shingle: int) -> Column:
-    """The hashes of the line's shingles of words; repeats included. A line without a word has none."""
-    words = F.array_remove(F.split(F.translate(line, "\t\r\x0b\x0c", "    "), " "), "")
-    whole = F.array(F.xxhash64(F.concat_ws(" ", words)))
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - shingle), lambda k: F.xxhash64(*[F.get(words, k + n) for n in range(shingle)]))
-    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).when(F.size(words) <= shingle, whole).otherwise(runs)
+def with_words(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``words``, the words of ``line``. A column of its own: inside an expression for each
+    shingle the line would be split anew."""
+    words = F.array_remove(F.split(F.translate("line", "\t\r\x0b\x0c", "    "), " "), "")
+    return lines.withColumn("words", words).drop("line")
+
+
+def tokens_of(shingle: int) -> Column:
+    """The hashes of the shingles of ``words``; repeats included. No word, no token."""
+    whole = F.array(F.xxhash64(F.concat_ws(" ", "words")))
+    runs = F.transform(F.sequence(F.lit(0), F.size("words") - shingle), lambda k: F.xxhash64(*[F.get("words", k + n) for n in range(shingle)]))
+    return F.when(F.size("words") == 0, F.array().cast("array<bigint>")).when(F.size("words") <= shingle, whole).otherwise(runs)
 
 
 def rarity_ranks(docs: DataFrame, shingle: int, text_column: str = "text") -> bytes:
     """A rank from 0 to 127 for each cell, by the number of shingles of all lines in it."""
     lines = docs.select(F.explode(F.split(F.coalesce(text_column, F.lit("")), "\n")).alias("line"))
-    cells = lines.select(F.explode(tokens_of(F.col("line"), shingle)).alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).alias("cell")).count()
+    cells = with_words(lines).select(F.explode(tokens_of(shingle)).alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).alias("cell")).count()
     found = {r["cell"]: r["count"] for r in cells.collect()}  # CELLS rows at most
     most = math.log1p(max(found.values(), default=1))
     return bytes(int(127 * math.log1p(found.get(k, 0)) / most) for k in range(CELLS))
 
 
-def _by_rarity(line: Column, shingle: int, ranks: bytes) -> Column:
-    """The line's token set as an array of longs from rare to frequent."""
+def _by_rarity(shingle: int, ranks: bytes) -> Column:
+    """The token set of ``words`` as an array of longs from rare to frequent."""
     table = F.lit(bytearray(ranks))
 
     def token(h: Column) -> Column:
         rank = F.ascii(F.substring(table, h.bitwiseAND(CELLS - 1).cast("int") + 1, 1).cast("string"))
         return F.shiftleft(rank.cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
 
-    return F.array_sort(F.array_distinct(F.transform(tokens_of(line, shingle), token)))
+    return F.array_sort(F.array_distinct(F.transform(tokens_of(shingle), token)))
 
 
 def _least_shared(n: Column, m: Column, threshold: float) -> Column:
@@ -76,7 +82,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
     # A null id sorts last.
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     base = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    with_tokens = base.withColumn("tokens", _by_rarity(F.col("line"), shingle, ranks))
+    with_tokens = with_words(base).withColumn("tokens", _by_rarity(shingle, ranks))
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, F.greatest(n - F.ceil(n * threshold - 1e-9).cast("int") + 1, F.lit(1)))
     lines = with_tokens.select("doc", "doc_id", "line_no", n.alias("n"), prefix.alias("prefix"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"))
@@ -106,7 +112,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
     involved = written(shared.select("doc", "line_no").distinct(), "involved")
     some = docs.withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(involved.select("doc").distinct(), "doc", "left_semi")
     some = some.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")).join(involved, ["doc", "line_no"], "left_semi")
-    whole = written(some.withColumn("tokens", _by_rarity(F.col("line"), shingle, ranks)).select("doc", "line_no", "tokens"), "whole-lines")
+    whole = written(with_words(some).select("doc", "line_no", _by_rarity(shingle, ranks).alias("tokens")), "whole-lines")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """doc, line_no of the x of pairs that are similar."""
