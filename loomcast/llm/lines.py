@@ -26,21 +26,26 @@ from pyspark.sql import functions as F
 
 from loomcast.llm.shared import partitions, shared_root, written
 
-CELLS = 1 << 16
+CELLS = 1 << 14
 HASH_BITS = 56
 
 
 def with_words(lines: DataFrame) -> DataFrame:
     """``lines`` with ``words``, the words of ``line``. A column of its own: inside an expression for each
     shingle the line would be split anew."""
-    words = F.array_remove(F.split(F.translate("line", "\t\r\x0b\x0c", "    "), " "), "")
+    line = F.col("line")
+    other = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
+    spaced = F.when(other, F.translate("line", "\t\r\x0b\x0c", "    ")).otherwise(line)
+    words = F.array_remove(F.split(spaced, " "), "")
     return lines.withColumn("words", words).drop("line")
 
 
 def tokens_of(shingle: int) -> Column:
     """The hashes of the shingles of ``words``; repeats included. No word, no token."""
     whole = F.array(F.xxhash64(F.concat_ws(" ", "words")))
-    runs = F.transform(F.sequence(F.lit(0), F.size("words") - shingle), lambda k: F.xxhash64(*[F.get("words", k + n) for n in range(shingle)]))
+    # Whole-array functions line up the words of each shingle; the lambda only hashes.
+    zipped = F.arrays_zip(*[F.slice("words", n + 1, F.size("words") - (shingle - 1)) for n in range(shingle)])
+    runs = F.transform(zipped, lambda words: F.xxhash64(words))
     return F.when(F.size("words") == 0, F.array().cast("array<bigint>")).when(F.size("words") <= shingle, whole).otherwise(runs)
 
 
@@ -55,10 +60,10 @@ def rarity_ranks(docs: DataFrame, shingle: int, text_column: str = "text") -> by
 
 def _by_rarity(shingle: int, ranks: bytes) -> Column:
     """The token set of ``words`` as an array of longs from rare to frequent."""
-    table = F.lit(bytearray(ranks))
+    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")  # folded to one literal
 
     def token(h: Column) -> Column:
-        rank = F.ascii(F.substring(table, h.bitwiseAND(CELLS - 1).cast("int") + 1, 1).cast("string"))
+        rank = F.get(table, h.bitwiseAND(CELLS - 1).cast("int"))
         return F.shiftleft(rank.cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
 
     return F.array_sort(F.array_distinct(F.transform(tokens_of(shingle), token)))
