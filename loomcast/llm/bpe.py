@@ -26,6 +26,8 @@ from loomcast.llm.shared import append_column, text_of
 from loomcast.llm.words import WordCache
 
 LONG_WORD = 256
+#: Fewer entries than other encoders keep: these workers hold decoded segments and a database, too.
+CACHE_LIMIT = 350_000
 
 #: A row is a token: its word, its place, its id, and the id and place of the token after it in the
 #: word (-1 and 0 at the end). Each step finds each word's least (rank, place) among the pairs that
@@ -63,7 +65,7 @@ FROM tokens t JOIN vocabulary v USING (id) GROUP BY t.d ORDER BY t.d
 class DuckBpe:
     """Ranks of a tiktoken file in a DuckDB database of this process."""
 
-    def __init__(self, path: str, pattern: str, memory: str = "300MB"):
+    def __init__(self, path: str, pattern: str, memory: str = "200MB"):
         import duckdb
 
         with open(path, "rb") as f:
@@ -83,7 +85,7 @@ class DuckBpe:
         self.begins = np.zeros(max(self.bytes_of) + 1, bool)
         self.begins[[i for i, t in self.bytes_of.items() if t[:1] == b" "]] = True
         self.segments: dict[bytes, bytes] = {}
-        self.cache = WordCache(pattern, self.encode_words)
+        self.cache = WordCache(pattern, self.encode_words, CACHE_LIMIT)
 
     def _table(self, name: str, **columns) -> None:
         given = pa.table(columns)
