@@ -7,22 +7,47 @@ next one's documents, so a lost executor never goes back more than one stage.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcast.llm import langid, lines, near_documents, packing, substrings
-from loomcast.llm.shared import table, written
+from loomcast.llm.shared import FOLDERS, discard, table, written
 
 #: Several stages iterate or sample hashes, which SQL cannot state; tests compare them with brute force.
 ORACLE_SQL = None
 
 
+#: Folders of stages that have returned their rows.
+_over: list[str] = []
+
+
+def _stage(f):
+    """A stage that first deletes what earlier stages left in the shared folder, unless ``docs`` still reads it:
+    stages are written and read again, so nothing else needs it."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _over else []
+        idle = [d for d in _over if not any(d.rpartition("/")[2] in file for file in read)]
+        discard(spark, *idle)
+        _over[:] = [d for d in _over if d not in idle]
+        before = len(FOLDERS)
+        out = f(spark, docs, sf_dir)
+        _over.extend(FOLDERS[before:])
+        return out
+
+    return run_stage
+
+
 def _same_columns(found: DataFrame, docs: DataFrame, text) -> DataFrame:
     """The columns of ``docs``, with the new text and its length."""
     return found.select(*[text.alias("text") if c == "text" else F.when(F.col("text").eqNullSafe(text), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is learnable from the labelled ones; texts without a letter and texts
     between two languages go."""
@@ -31,6 +56,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where("loom_language.lang_pred <> 'und' and not loom_language.ambiguous").select(*docs.columns)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier line is at least 0.8 similar to."""
     kept = lines.dedup_lines(docs.withColumn("loom_old", F.col("text")), threshold=0.8, shingle=5)
@@ -38,17 +64,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: 5-word shingles, similarity 0.8 or more."""
     return near_documents.distinct_documents(docs, width=5, similarity=0.8)
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 35 words or more that are anywhere else too; others stay as they are."""
     found = substrings.remove_repeats(docs, window=35)
     return _same_columns(found, docs, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens, with their ids."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), context=2048, end_id=1)

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcast.llm.shared import partitions, shared_root, written
+from loomcast.llm.shared import discard, shared_root, written
 
 CELLS = 1 << 14
 HASH_BITS = 56
@@ -95,12 +95,16 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
 
     sets = lines.where("n > 0").groupBy("k1", "k2", "n", "prefix").agg(F.min(F.col("doc").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("line_no")).alias("at"))
     sets = written(sets.select("k1", "k2", "n", "prefix", F.expr(f"cast(at div {1 << 31} as long)").alias("doc"), F.expr(f"cast(at % {1 << 31} as int)").alias("line_no")), "line-sets")
+    # Of the lines only the sets they belong to are needed from here on.
+    wide, lines = lines, written(lines.select("doc_id", "doc", "line_no", "k1", "k2"), "lines-of-sets")
+    discard(spark, wide)
 
     postings = sets.select("doc", "line_no", "n", F.posexplode("prefix").alias("pos", "token"))
     same = Window.partitionBy("token")
     first = same.orderBy("doc", "line_no", "n", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     shared = postings.withColumn("first", F.first(F.struct("doc", "line_no", "n", "pos")).over(first)).withColumn("c", F.count("*").over(same)).where("c > 1").drop("c")
-    shared = written(shared.repartition(partitions(spark), "token"), "shared-postings")
+    shared = written(shared, "shared-postings")
+    discard(spark)
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs x, y (y earlier) that pass the length and positional filters, once each."""
@@ -133,7 +137,8 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
     open_lines = open_lines.where("doc <> first.doc or line_no <> first.line_no").select(*x, "token")
     earlier = shared.where("doc <> first.doc or line_no <> first.line_no").select(F.col("doc").alias("ydoc"), F.col("line_no").alias("yline"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("token"))
     to_all = open_lines.join(earlier, "token").where("ydoc < xdoc or ydoc = xdoc and yline < xline")
-    gone = gone.union(verified(likely(to_all))).distinct().select(F.col("doc").alias("gdoc"), F.col("line_no").alias("gline"))
+    first_gone, gone = gone, written(gone.union(verified(likely(to_all))).distinct().select(F.col("doc").alias("gdoc"), F.col("line_no").alias("gline")), "gone")
+    discard(spark, first_gone, shared, involved, whole)
 
     at_first = [F.col("doc").alias("fdoc"), F.col("line_no").alias("fline")]
     verdict = sets.select("k1", "k2", *at_first).join(gone, (F.col("fdoc") == F.col("gdoc")) & (F.col("fline") == F.col("gline")), "left").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "fdoc", "fline", F.col("gdoc").isNotNull().alias("goes"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.llm.graph import components, forest
-from loomcast.llm.shared import append_column, partitions, text_of, written
+from loomcast.llm.shared import append_column, discard, partitions, text_of, written
 from loomcast.llm.simhash import mixed, near_pairs, shingle_hashes
 
 PARTS = 8
@@ -131,6 +131,8 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     common = F.size(F.array_intersect("sa", "sb"))
     verified = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
+    verified = written(verified, "verified")
+    discard(spark, tiles, links, sets)
     roots = components(verified).withColumnRenamed("node", "member")
     group = reps.join(roots, F.col("node") == F.col("member"), "left").select(F.col("fp").alias("gfp"), F.col("size").alias("gsize"), F.coalesce("root", "node").alias("group"))
     members = fps.join(group, (F.col("fp") == F.col("gfp")) & (F.col("size") == F.col("gsize")))

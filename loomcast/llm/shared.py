@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -23,7 +24,8 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder name under the shared folder; writers create it."""
-    return f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    FOLDERS.append(f"{shared_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return FOLDERS[-1]
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -32,7 +34,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.loom_folder = path
+    return out
+
+
+#: Folders that this process has named, in order; a pipeline gives back those of stages that are over.
+FOLDERS: list[str] = []
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete tables that ``written`` made (or folders) and that nothing reads any more, and let Spark free
+    the shuffle files of jobs that are over."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.loom_folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def open_fs(uri: str):
