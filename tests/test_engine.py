@@ -1,9 +1,11 @@
 """The inference operator, plan, rounds and statistics against the simulated endpoint and small strategies."""
 
 import asyncio
+import sys
 import warnings
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from loomcast.config import EngineConfig, RateLimitConfig, RetryConfig
@@ -16,6 +18,9 @@ from loomcast.plans import catalogue
 from loomcast.plans.plan import InferencePlan
 from loomcast.schema import SKIPPED
 
+# Workers cannot import this file, so its classes travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FAST = EngineConfig(max_workers=4, time_scale=0.0, retry=RetryConfig(jitter=False))
 SMALL = "/root/testdata/sf0.001"
 
