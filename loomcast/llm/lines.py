@@ -52,7 +52,10 @@ def tokens_of(shingle: int) -> Column:
 def rarity_ranks(docs: DataFrame, shingle: int, text_column: str = "text") -> bytes:
     """A rank from 0 to 127 for each cell, by the number of shingles of all lines in it."""
     lines = docs.select(F.explode(F.split(F.coalesce(text_column, F.lit("")), "\n")).alias("line"))
-    cells = with_words(lines).select(F.explode(tokens_of(shingle)).alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).alias("cell")).count()
+    # One row a shingle, hashed by compiled code; the hashes are those of tokens_of.
+    starts = with_words(lines).where(F.size("words") > 0).select("words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - shingle, F.lit(0)))).alias("i"))
+    h = F.when(F.size("words") <= shingle, F.xxhash64(F.concat_ws(" ", "words"))).otherwise(F.xxhash64(*[F.get("words", F.col("i") + n) for n in range(shingle)]))
+    cells = starts.groupBy(h.bitwiseAND(CELLS - 1).alias("cell")).count()
     found = {r["cell"]: r["count"] for r in cells.collect()}  # CELLS rows at most
     most = math.log1p(max(found.values(), default=1))
     return bytes(int(127 * math.log1p(found.get(k, 0)) / most) for k in range(CELLS))
@@ -66,7 +69,7 @@ def _by_rarity(shingle: int, ranks: bytes) -> Column:
         rank = F.get(table, h.bitwiseAND(CELLS - 1).cast("int"))
         return F.shiftleft(rank.cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
 
-    return F.array_sort(F.array_distinct(F.transform(tokens_of(shingle), token)))
+    return F.sort_array(F.array_distinct(F.transform(tokens_of(shingle), token)))  # compiled, unlike array_sort
 
 
 def _least_shared(n: Column, m: Column, threshold: float) -> Column:
@@ -100,10 +103,17 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
     discard(spark, wide)
 
     postings = sets.select("doc", "line_no", "n", F.posexplode("prefix").alias("pos", "token"))
-    same = Window.partitionBy("token")
-    first = same.orderBy("doc", "line_no", "n", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shared = postings.withColumn("first", F.first(F.struct("doc", "line_no", "n", "pos")).over(first)).withColumn("c", F.count("*").over(same)).where("c > 1").drop("c")
-    shared = written(shared, "shared-postings")
+    postings = postings.select("token", "doc", "line_no", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("npos"))
+    same = Window.partitionBy("token").orderBy("doc", "line_no", "npos")
+    at = F.struct("doc", "line_no", "npos")
+    shared = postings.withColumn("first", F.first(at).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("before", F.lag("token").over(same)).withColumn("after", F.lead("token").over(same)).where("before is not null or after is not null")
+
+    def n_and_pos(npos: str) -> tuple[Column, Column]:
+        return F.shiftright(npos, 32).cast("int"), F.col(npos).bitwiseAND((1 << 32) - 1).cast("int")
+
+    (n, pos), (first_n, first_pos) = n_and_pos("npos"), n_and_pos("first.npos")
+    first = F.struct(F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no"), first_n.alias("n"), first_pos.alias("pos"))
+    shared = written(shared.select("token", "doc", "line_no", n.alias("n"), pos.alias("pos"), first.alias("first")), "shared-postings")
     discard(spark)
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -119,8 +129,9 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
 
     # Whole token sets of the lines that share a token, made again from the texts.
     involved = written(shared.select("doc", "line_no").distinct(), "involved")
-    some = docs.withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(involved.select("doc").distinct(), "doc", "left_semi")
-    some = some.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")).join(involved, ["doc", "line_no"], "left_semi")
+    some = docs.withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(involved.groupBy("doc").agg(F.collect_set("line_no").alias("wanted")), "doc")
+    wanted = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, k: F.struct(k.alias("line_no"), line.alias("line"))), lambda x: F.array_contains("wanted", x.line_no))
+    some = some.select("doc", F.inline(wanted))
     whole = written(with_words(some).select("doc", "line_no", _by_rarity(shingle, ranks).alias("tokens")), "whole-lines")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -144,7 +155,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
     verdict = sets.select("k1", "k2", *at_first).join(gone, (F.col("fdoc") == F.col("gdoc")) & (F.col("fline") == F.col("gline")), "left").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "fdoc", "fline", F.col("gdoc").isNotNull().alias("goes"))
     judged = lines.select("doc_id", "doc", "line_no", "k1", "k2").join(verdict, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left")
     goes = F.coalesce(F.col("goes") | (F.col("doc") != F.col("fdoc")) | (F.col("line_no") != F.col("fline")), F.lit(False))
-    gone_at = F.array_sort(F.collect_set(F.when(goes, F.col("line_no"))))
+    gone_at = F.sort_array(F.collect_set(F.when(goes, F.col("line_no"))))
     return judged.groupBy("doc_id").agg((F.max("line_no") + 1).cast("long").alias("n_lines"), F.size(gone_at).cast("long").alias("n_removed"), gone_at.alias("removed"))
 
 
