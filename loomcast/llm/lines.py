@@ -40,36 +40,39 @@ def with_words(lines: DataFrame) -> DataFrame:
     return lines.withColumn("words", words).drop("line")
 
 
-def tokens_of(shingle: int) -> Column:
-    """The hashes of the shingles of ``words``; repeats included. No word, no token."""
+def with_hashes(lines: DataFrame, shingle: int) -> DataFrame:
+    """``lines`` with ``hashes``, the hashes of the shingles of ``words``; repeats included. No word, no hash."""
+    # Whole-array functions line up the words of each shingle in a column of their own, which is compiled; the lambda only hashes.
+    n = F.greatest(F.size("words") - (shingle - 1), F.lit(0))
+    zipped = lines.withColumn("runs", F.arrays_zip(*[F.slice("words", k + 1, n) for k in range(shingle)]))
     whole = F.array(F.xxhash64(F.concat_ws(" ", "words")))
-    # Whole-array functions line up the words of each shingle; the lambda only hashes.
-    zipped = F.arrays_zip(*[F.slice("words", n + 1, F.size("words") - (shingle - 1)) for n in range(shingle)])
-    runs = F.transform(zipped, lambda words: F.xxhash64(words))
-    return F.when(F.size("words") == 0, F.array().cast("array<bigint>")).when(F.size("words") <= shingle, whole).otherwise(runs)
+    runs = F.transform("runs", lambda words: F.xxhash64(words))
+    hashes = F.when(F.size("runs") > 1, runs).when(F.size("words") > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    return zipped.withColumn("hashes", hashes).drop("words", "runs")
 
 
 def rarity_ranks(docs: DataFrame, shingle: int, text_column: str = "text") -> bytes:
     """A rank from 0 to 127 for each cell, by the number of shingles of all lines in it."""
-    lines = docs.select(F.explode(F.split(F.coalesce(text_column, F.lit("")), "\n")).alias("line"))
-    # One row a shingle, hashed by compiled code; the hashes are those of tokens_of.
-    starts = with_words(lines).where(F.size("words") > 0).select("words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - shingle, F.lit(0)))).alias("i"))
-    h = F.when(F.size("words") <= shingle, F.xxhash64(F.concat_ws(" ", "words"))).otherwise(F.xxhash64(*[F.get("words", F.col("i") + n) for n in range(shingle)]))
-    cells = starts.groupBy(h.bitwiseAND(CELLS - 1).alias("cell")).count()
+    lines = docs.select(F.explode_outer(F.split(F.coalesce(text_column, F.lit("")), "\n")).alias("line"))
+    # One row a shingle, hashed by compiled code; the hashes are those of with_hashes. The arrays have at
+    # least one element; the outer form spares the filters that Spark infers, for which it splits again.
+    starts = with_words(lines).select("words", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("words") - shingle, F.lit(0)))).alias("i"))
+    h = F.when(F.size("words") > shingle, F.xxhash64(*[F.get("words", F.col("i") + n) for n in range(shingle)])).when(F.size("words") > 0, F.xxhash64(F.concat_ws(" ", "words")))
+    cells = starts.groupBy(h.bitwiseAND(CELLS - 1).alias("cell")).count().where("cell is not null")
     found = {r["cell"]: r["count"] for r in cells.collect()}  # CELLS rows at most
     most = math.log1p(max(found.values(), default=1))
     return bytes(int(127 * math.log1p(found.get(k, 0)) / most) for k in range(CELLS))
 
 
-def _by_rarity(shingle: int, ranks: bytes) -> Column:
-    """The token set of ``words`` as an array of longs from rare to frequent."""
+def _by_rarity(ranks: bytes) -> Column:
+    """The token set of ``hashes`` as an array of longs from rare to frequent."""
     table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")  # folded to one literal
 
     def token(h: Column) -> Column:
         rank = F.get(table, h.bitwiseAND(CELLS - 1).cast("int"))
         return F.shiftleft(rank.cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
 
-    return F.sort_array(F.array_distinct(F.transform(tokens_of(shingle), token)))  # compiled, unlike array_sort
+    return F.sort_array(F.array_distinct(F.transform("hashes", token)))  # compiled, unlike array_sort
 
 
 def _least_shared(n: Column, m: Column, threshold: float) -> Column:
@@ -89,8 +92,8 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
     ranks = rarity_ranks(docs, shingle, text_column)
     # A null id sorts last.
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    base = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    with_tokens = with_words(base).withColumn("tokens", _by_rarity(shingle, ranks))
+    base = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    with_tokens = with_hashes(with_words(base), shingle).withColumn("tokens", _by_rarity(ranks))
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, F.greatest(n - F.ceil(n * threshold - 1e-9).cast("int") + 1, F.lit(1)))
     lines = with_tokens.select("doc", "doc_id", "line_no", n.alias("n"), prefix.alias("prefix"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"))
@@ -132,7 +135,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
     some = docs.withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(involved.groupBy("doc").agg(F.collect_set("line_no").alias("wanted")), "doc")
     wanted = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, k: F.struct(k.alias("line_no"), line.alias("line"))), lambda x: F.array_contains("wanted", x.line_no))
     some = some.select("doc", F.inline(wanted))
-    whole = written(with_words(some).select("doc", "line_no", _by_rarity(shingle, ranks).alias("tokens")), "whole-lines")
+    whole = written(with_hashes(with_words(some), shingle).select("doc", "line_no", _by_rarity(ranks).alias("tokens")), "whole-lines")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """doc, line_no of the x of pairs that are similar."""
