@@ -66,11 +66,10 @@ def rarity_ranks(docs: DataFrame, shingle: int, text_column: str = "text") -> by
 
 def _by_rarity(ranks: bytes) -> Column:
     """The token set of ``hashes`` as an array of longs from rare to frequent."""
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")  # folded to one literal
+    table = F.split(F.lit(",".join(str(r << HASH_BITS) for r in ranks)), ",").cast("array<bigint>")  # folded to one literal
 
     def token(h: Column) -> Column:
-        rank = F.get(table, h.bitwiseAND(CELLS - 1).cast("int"))
-        return F.shiftleft(rank.cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
+        return F.get(table, h.bitwiseAND(CELLS - 1)).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
 
     return F.sort_array(F.array_distinct(F.transform("hashes", token)))  # compiled, unlike array_sort
 
@@ -136,6 +135,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
     wanted = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, k: F.struct(k.alias("line_no"), line.alias("line"))), lambda x: F.array_contains("wanted", x.line_no))
     some = some.select("doc", F.inline(wanted))
     whole = written(with_hashes(with_words(some), shingle).select("doc", "line_no", _by_rarity(ranks).alias("tokens")), "whole-lines")
+    discard(spark)  # the shuffled texts
 
     def verified(pairs: DataFrame) -> DataFrame:
         """doc, line_no of the x of pairs that are similar."""
@@ -146,6 +146,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
         return both.where(common >= _least_shared(F.size("a"), F.size("b"), threshold)).select(F.col("xdoc").alias("doc"), F.col("xline").alias("line_no")).distinct()
 
     gone = written(verified(to_first), "gone")
+    discard(spark)
     open_lines = shared.join(gone, ["doc", "line_no"], "left_anti")
     # The first line of each token has been compared; lines that are the first of all their tokens have nothing earlier.
     open_lines = open_lines.where("doc <> first.doc or line_no <> first.line_no").select(*x, "token")
