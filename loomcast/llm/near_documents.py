@@ -2,17 +2,18 @@
 
 64 bits tell a Jaccard similarity of 0.8 from lower ones poorly, so fingerprints here have 512 bits of
 the set of 5-word shingles. Tiled exact comparison finds pairs within ``radius`` bits; at 0.8 the
-distance is 78 +- 8 bits, of unrelated texts 256 +- 11, so the default of 100 misses about 0.3 % of the
-pairs at 0.8 and fewer above. Tiles hold documents of similar set sizes, and tiles whose sizes cannot
-have the similarity never meet. Only the links of a minimum spanning forest (by distance) leave a
-pair of tiles: whoever is connected by near links is connected by them, and a group of n copies
-makes about n links. Each link is then verified by the Jaccard similarity of the shingle sets.
+distance is 78 +- 8 bits, of unrelated texts 256 +- 11. Tiles hold documents of similar set sizes, and
+tiles whose sizes cannot have the similarity never meet. The first comparison tells who has a near
+pair at all; the shingle sets of these alone are stored, and the second one verifies their near pairs
+by Jaccard similarity. Only a spanning forest of the verified pairs leaves a pair of tiles: a near
+pair that fails never stands in for one that does not, and a group of n copies makes about n links.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.llm.graph import components, forest
-from loomcast.llm.shared import append_column, discard, partitions, text_of, written
+from loomcast.llm.shared import append_column, discard, open_fs, partitions, put_file, shared_folder, text_of, written
 from loomcast.llm.simhash import mixed, near_pairs, shingle_hashes
 
 PARTS = 8
@@ -64,75 +65,168 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.n
         label = forest(n, np.r_[np.arange(n), i[pick]], np.r_[label, j[pick]])
 
 
-def _links(left: dict, right: dict | None, radius: int, first_radius: int = 22) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of two tiles (or one): nodes a and b. The first 64 bits are looked at first;
-    at a similarity of 0.8 they differ in 10 +- 3."""
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of hashes, each sorted or at least without repeats, have the Jaccard similarity."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def verified_links(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray, label: np.ndarray, check: Callable[[int, int], bool]) -> tuple[list[int], np.ndarray]:
+    """Which of the pairs (i, j) pass ``check`` and join what all that pass join, and the labels after it.
+
+    A spanning forest of the pairs between unjoined labels is checked; those that fail are dropped, those
+    that pass join, and so on until no pair is left. Where forests fail, growing numbers of the nearest
+    other pairs are checked with them."""
+    passed: list[int] = []
+    open_pairs, more = np.arange(len(i)), 0
+    while True:
+        open_pairs = open_pairs[label[i[open_pairs]] != label[j[open_pairs]]]
+        if not len(open_pairs):
+            return passed, label
+        tried = spanning(n, label[i[open_pairs]], label[j[open_pairs]], distance[open_pairs])
+        if more:
+            tried = np.union1d(tried, np.argsort(distance[open_pairs], kind="stable")[:more])
+        good = [k for k in open_pairs[tried].tolist() if check(i[k], j[k])]
+        passed += good
+        label = forest(n, np.r_[np.arange(n), i[good]], np.r_[label, j[good]])
+        open_pairs = np.delete(open_pairs, tried)
+        more = 2 * more or 512
+
+
+def _links(left: dict, right: dict | None, radius: int, check: Callable[[int, int], bool] | None = None, first_radius: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of two tiles (or one): nodes a and b. With ``check``, of the near pairs that pass
+    it, or else of all. The first 64 bits are looked at first; at a similarity of 0.8 they differ in 10 +- 3."""
     a = left["fp"]
     b = None if right is None else right["fp"]
     node = left["node"] if right is None else np.r_[left["node"], right["node"]]
     kept = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "i8")
+    label = np.arange(len(node))
     for i, j in near_pairs(a[:, :1], None if b is None else b[:, :1], first_radius):
         distance = np.bitwise_count(a[i] ^ (a if b is None else b)[j]).sum(1, dtype="i8")
         near = distance <= radius
         if not near.any():
             continue
-        j = j[near] + (0 if b is None else len(a))
-        merged = [np.r_[x, y] for x, y in zip(kept, (i[near], j, distance[near]), strict=True)]
-        some = spanning(len(node), *merged)
-        kept = tuple(x[some] for x in merged)
+        i, j, distance = i[near], j[near] + (0 if b is None else len(a)), distance[near]
+        if check:
+            some, label = verified_links(len(node), i, j, distance, label, check)
+            kept = tuple(np.r_[x, y[some]] for x, y in zip(kept, (i, j, distance), strict=True))
+        else:
+            merged = [np.r_[x, y] for x, y in zip(kept, (i, j, distance), strict=True)]
+            some = spanning(len(node), *merged)
+            kept = tuple(x[some] for x in merged)
     return node[kept[0]], node[kept[1]]
 
 
-def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, the one with the smallest doc_id.
+class StoredSets:
+    """Shingle sets read from the files that ``_store_sets`` wrote, the last ones kept in memory."""
 
-    Documents link if their fingerprints are within ``radius`` and their shingle sets' Jaccard similarity
-    is at least ``similarity``; equal sets always link, so all null and wordless texts are one group. Null
-    ids come last; of rows with equal ids the first written one stays. All columns stay."""
-    spark = docs.sparkSession
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    kind = pa.struct([("fp", pa.binary()), ("size", pa.int64())])
+    def __init__(self, most_bytes: int = 64 << 20):
+        self.most, self.size, self.kept, self.files = most_bytes, 0, {}, {}
 
-    def run(texts: list[str]) -> pa.Array:
-        return pa.array([dict(zip(("fp", "size"), wide_fingerprint(t, width), strict=True)) for t in texts], kind)
+    def get(self, uri: str, at: int, n: int) -> np.ndarray:
+        found = self.kept.pop((uri, at), None)
+        if found is None:
+            if uri not in self.files:
+                files, path = open_fs(uri)
+                self.files[uri] = files.open_input_file(path)
+            self.files[uri].seek(at)
+            found = np.frombuffer(self.files[uri].read(8 * n), "<u8")
+            self.size += found.nbytes
+        self.kept[uri, at] = found
+        while self.size > self.most and len(self.kept) > 2:
+            self.size -= self.kept.pop(next(iter(self.kept))).nbytes
+        return found
 
-    fps = append_column(rows.select(F.col("_row").alias("row"), F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), text_of(text_column).alias("t")), F.col("t"), run, "f", "struct<fp: binary, size: long>")
-    fps = written(fps.select("row", "doc", "f.fp", "f.size"), "wide-fingerprints")
-    reps = written(fps.groupBy("fp", "size").agg(F.min("row").alias("node")).withColumn("band", F.when(F.col("size") == 0, -1).otherwise(F.floor(F.log(F.col("size").cast("double")) / math.log(1 / similarity) + 1e-9))), "sets")
 
+def _store_sets(rows: DataFrame, width: int, file_bytes: int = 32 << 20) -> tuple[DataFrame, str]:
+    """node, uri, at, n: where in the shared folder the shingle set of each of ``rows`` (node, t) is; and the folder."""
+    folder = shared_folder(rows.sparkSession, "sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            uri = f"{folder}/{uuid.uuid4().hex}"  # a task that runs again writes files of its own
+            put_file(uri, (raw for _, raw in found))
+            sizes = np.array([len(raw) for _, raw in found], "i8")
+            out = pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([uri] * len(found)), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes // 8)], names=["node", "uri", "at", "n"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            for node, text in zip(batch["node"].to_pylist(), batch["t"], strict=True):
+                found.append((node, shingle_set(text.as_py(), width).astype("<u8").tobytes()))
+                size += len(found[-1][1])
+                if size >= file_bytes:
+                    yield flush()
+                    size = 0
+        if found:
+            yield flush()
+
+    return written(rows.select("node", "t").mapInArrow(run, "node long, uri string, at long, n long"), "places-of-sets"), folder
+
+
+def _tile_links(reps: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """Links a, b of ``reps`` (node, fp, band), tile by tile. With ``similarity``, only links whose sets (at uri, at, n) have it."""
     # A band is a range of sizes by the factor 1 / similarity: similar sets are in one or in neighbours.
+    columns = ["node", "fp"] + (["uri", "at", "n"] if similarity else [])
     bands = reps.groupBy("band").agg(F.ceil(F.count("*") / TILE).alias("cuts"))
     cut = reps.join(bands, "band").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")))
-    tiles = written(cut.groupBy("band", "cut").agg(F.collect_list(F.struct("node", "fp")).alias("rows")), "tiles")
+    tiles = written(cut.groupBy("band", "cut").agg(F.collect_list(F.struct(*columns)).alias("rows")), "tiles")
     left = tiles.select(F.col("band").alias("i"), F.col("cut").alias("ic"), F.col("rows").alias("left"))
     beside = [tiles.select((F.col("band") - k).alias("i"), F.col("band").alias("j"), F.col("cut").alias("jc"), F.col("rows").alias("right")) for k in (0, 1)]
-    pairs = left.join(beside[0].where("j >= 0").union(beside[1]), "i").where("i < j or i = j and ic <= jc")
-    pairs = pairs.select((F.col("i") == F.col("j")).__and__(F.col("ic") == F.col("jc")).alias("same"), "left", "right").repartition(4 * partitions(spark))
+    pairs = left.join(beside[0].union(beside[1]), "i").where("i < j or i = j and ic <= jc")
+    pairs = pairs.select((F.col("i") == F.col("j")).__and__(F.col("ic") == F.col("jc")).alias("same"), "left", "right").repartition(4 * partitions(reps.sparkSession))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stored = StoredSets()
         for batch in batches:
             for k in range(len(batch)):
-                sides = []
-                for c in ("left", "right"):
+                sides, places = [], []
+                for c in ("left",) if batch["same"][k].as_py() else ("left", "right"):
                     values = batch[c][k].values
                     sides.append({"node": np.array(values.field("node")), "fp": np.frombuffer(b"".join(values.field("fp").to_pylist()), ">u8").astype("u8").reshape(-1, PARTS)})
-                a, b = _links(sides[0], None if batch["same"][k].as_py() else sides[1], radius)
+                    if similarity:
+                        places += zip(*[values.field(c).to_pylist() for c in ("uri", "at", "n")], strict=True)
+
+                def check(i: int, j: int, places=places) -> bool:
+                    return similar(stored.get(*places[i]), stored.get(*places[j]), similarity)
+
+                a, b = _links(sides[0], sides[1] if len(sides) > 1 else None, radius, check if similarity else None)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     links = written(pairs.mapInArrow(compare, "a long, b long").distinct(), "links")
+    discard(reps.sparkSession, tiles)
+    return links
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 112, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, the one with the smallest doc_id.
+
+    Documents link if their fingerprints are within ``radius`` and their shingle sets' Jaccard similarity
+    is at least ``similarity``; equal sets always link, so all null and wordless texts are one group. Null
+    ids come last; of rows with equal ids the first written one stays. All columns stay."""
+    spark = docs.sparkSession
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    kind = pa.struct([("fp", pa.binary()), ("size", pa.int64())])
+
+    def run(texts: list[str]) -> pa.Array:
+        return pa.array([dict(zip(("fp", "size"), wide_fingerprint(t, width), strict=True)) for t in texts], kind)
+
+    fps = append_column(rows.select(F.col("_row").alias("row"), F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), text_of(text_column).alias("t")), F.col("t"), run, "f", "struct<fp: binary, size: long>")
+    fps = written(fps.select("row", "doc", "f.fp", "f.size"), "wide-fingerprints")
+    reps = written(fps.groupBy("fp", "size").agg(F.min("row").alias("node")).withColumn("band", F.when(F.col("size") == 0, -1).otherwise(F.floor(F.log(F.col("size").cast("double")) / math.log(1 / similarity) + 1e-9))), "sets")
 
-    # The exact similarity of each link, from the texts of linked documents alone.
-    linked = links.select(F.col("a").alias("_row")).union(links.select(F.col("b").alias("_row"))).distinct()
-    some = rows.select("_row", text_of(text_column).alias("t")).join(linked, "_row", "left_semi")
-    sets = append_column(some, F.col("t"), lambda texts: pa.array([shingle_set(t, width).view("i8") for t in texts], pa.list_(pa.int64())), "set", "array<long>")
-    sets = written(sets.select(F.col("_row").alias("row"), "set"), "linked-sets")
-    both = links.join(sets.select(F.col("row").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    verified = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-    verified = written(verified, "verified")
-    discard(spark, tiles, links, sets)
+    # Whoever has a near pair is in a link of the first comparison; the second one is of these alone, and looks into their sets.
+    sized = reps.where("size > 0")
+    near = _tile_links(sized, radius)
+    linked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    some = rows.select(F.col("_row").alias("node"), text_of(text_column).alias("t")).join(linked, "node", "left_semi")
+    places, folder = _store_sets(some, width)
+    verified = _tile_links(sized.join(places, "node"), radius, similarity)
+    discard(spark, near, places, folder)
     roots = components(verified).withColumnRenamed("node", "member")
     group = reps.join(roots, F.col("node") == F.col("member"), "left").select(F.col("fp").alias("gfp"), F.col("size").alias("gsize"), F.coalesce("root", "node").alias("group"))
     members = fps.join(group, (F.col("fp") == F.col("gfp")) & (F.col("size") == F.col("gsize")))

@@ -284,6 +284,32 @@ def test_distinct_documents(spark):
     assert sorted(r.doc_id for r in near_documents.distinct_documents(df).collect()) == [0, 2, 3, 4]
 
 
+def distinct_by_force(rows, similarity=0.8):
+    """The first row of each group that pairs of the similarity make."""
+    sets, root = [near_documents.shingle_set(t, 5) for t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if root[i] != root[j] and common >= similarity * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return sorted(set(root))
+
+
+def test_distinct_documents_around_the_similarity(spark):
+    make, rng = prose(0)
+    rows = []
+    for _ in range(2):
+        base = make(204).split()
+        for _ in range(120):
+            words = list(base)
+            for _ in range(rng.randrange(2, 7)):
+                words[rng.randrange(204)] = make(1)
+            rows.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in near_documents.distinct_documents(df).collect()) == distinct_by_force(rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
