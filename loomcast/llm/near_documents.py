@@ -7,6 +7,7 @@ tiles whose sizes cannot have the similarity never meet. The first comparison te
 pair at all; the shingle sets of these alone are stored, and the second one verifies their near pairs
 by Jaccard similarity. Only a spanning forest of the verified pairs leaves a pair of tiles: a near
 pair that fails never stands in for one that does not, and a group of n copies makes about n links.
+Sets of up to SMALL shingles and what is similar to them are found without fingerprints, by shared shingles.
 """
 
 from __future__ import annotations
@@ -20,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.graph import components, forest
+from loomcast.llm.graph import components, forest, group_bounds, in_groups, small_and_tiled, tile_pairs
 from loomcast.llm.shared import append_column, discard, open_fs, partitions, put_file, shared_folder, text_of, written
 from loomcast.llm.simhash import mixed, near_pairs, shingle_hashes
 
 PARTS = 8
 TILE = 8192
+#: Sets of up to this many shingles, whose fingerprints tell little, are compared by shared shingles.
+SMALL = 32
+#: Small sets of a group that one task compares.
+SET_TILE = 1024
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -33,8 +38,8 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, "u8")
 
 
-def wide_fingerprint(text: str, width: int, parts: int = PARTS) -> tuple[bytes, int]:
-    """512 bits of the text's shingle set, and the set's size. No word: zero bits, size 0."""
+def wide_fingerprint(text: str, width: int, parts: int = PARTS, largest: int = 0) -> tuple[bytes, int, np.ndarray | None]:
+    """512 bits of the text's shingle set, the set's size, and sets of up to ``largest`` themselves. No word: zero bits, size 0."""
     h = shingle_set(text, width)
     out = []
     for k in range(parts):
@@ -43,7 +48,7 @@ def wide_fingerprint(text: str, width: int, parts: int = PARTS) -> tuple[bytes,
             some = h[at : at + (1 << 17)]
             counts += np.unpackbits((mixed(some, k) if k else some).astype(">u8").view("u1")).reshape(-1, 64).sum(0, dtype="i8")
         out.append(np.packbits(2 * counts > len(h)).tobytes())
-    return b"".join(out), len(h)
+    return b"".join(out), len(h), h.view("i8") if len(h) <= largest else None
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -202,32 +207,84 @@ def _tile_links(reps: DataFrame, radius: int, similarity: float | None = None) -
     return links
 
 
+def similar_in_group(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the similar ones of some sets join: indexes of the sets, whose hashes ``flat`` has one after the other."""
+    n = len(sizes)
+    ids = np.unique(flat, return_inverse=True)[1]
+    order = np.argsort(ids, kind="stable")
+    members = np.repeat(np.arange(n), sizes)[order]
+    starts = np.searchsorted(ids[order], np.arange(len(ids) + 1))
+    bounds = np.r_[0, np.cumsum(sizes)]
+    label = np.arange(n)
+    for k in range(1, n):
+        common = np.bincount(np.concatenate([members[starts[t] : starts[t + 1]] for t in ids[bounds[k] : bounds[k + 1]]]), minlength=n)[:k]
+        near = np.flatnonzero(common >= similarity * (sizes[k] + sizes[:k] - common) - 1e-9)
+        if (label[near] != label[k]).any():
+            label = forest(n, np.r_[np.arange(n), np.full(len(near), k)], np.r_[label, near])
+    at = np.flatnonzero(label != np.arange(n))
+    return at, label[at]
+
+
+def _small_links(reps: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b that connect all similar ones of ``reps`` (node, size, small: the set). Similar sets share one of
+    the first |s| - ceil(similarity |s|) + 1 hashes of their order, so sets meet by these."""
+    n = F.col("size").cast("int")
+    tokens = written(reps.select("node", F.explode(F.slice("small", 1, n - F.ceil(n * similarity - 1e-9).cast("int") + 1)).alias("token")), "tokens")
+    shared = tokens.groupBy("token").count().where("count > 1").select("token")
+    rows = written(tokens.join(shared, "token", "left_semi").join(reps.select("node", "small"), "node"), "shared-tokens")
+    some, cut = small_and_tiled(rows, ["token"], SET_TILE, "node")
+
+    def links(node: np.ndarray, sets: list) -> pa.RecordBatch:
+        a, b = similar_in_group(np.concatenate(sets), np.array([len(x) for x in sets]), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], names=["a", "b"])
+
+    def in_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in in_groups(batches, 1):
+            node, sets, bounds = table["node"].to_numpy(), table["small"].to_numpy(), group_bounds(table, 1)
+            for x, y in zip(bounds, bounds[1:], strict=False):
+                if y - x > 1:
+                    yield links(node[x:y], list(sets[x:y]))
+
+    def in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                sides = [batch[c][k].values for c in (("left",) if batch["i"][k].equals(batch["j"][k]) else ("left", "right"))]
+                yield links(np.concatenate([x.field("node").to_numpy() for x in sides]), [v for x in sides for v in x.field("small").to_numpy(zero_copy_only=False)])
+
+    near = some.select("token", "node", "small").mapInArrow(in_small, "a long, b long").union(tile_pairs(cut, ["token"], ["node", "small"]).mapInArrow(in_tiles, "a long, b long"))
+    links_of_all = written(near.distinct(), "small-links")
+    discard(reps.sparkSession, tokens, rows)
+    return links_of_all
+
+
 def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 112, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one with the smallest doc_id.
 
-    Documents link if their fingerprints are within ``radius`` and their shingle sets' Jaccard similarity
-    is at least ``similarity``; equal sets always link, so all null and wordless texts are one group. Null
+    Documents link if their shingle sets' Jaccard similarity is at least ``similarity`` and, where both sets
+    have over SMALL shingles, their fingerprints are within ``radius``; equal sets always link, so all null and wordless texts are one group. Null
     ids come last; of rows with equal ids the first written one stays. All columns stay."""
     spark = docs.sparkSession
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    kind = pa.struct([("fp", pa.binary()), ("size", pa.int64())])
+    kind = pa.struct([("fp", pa.binary()), ("size", pa.int64()), ("small", pa.list_(pa.int64()))])
+    largest = int(SMALL / similarity + 1e-9)  # what a small set can be similar to
 
     def run(texts: list[str]) -> pa.Array:
-        return pa.array([dict(zip(("fp", "size"), wide_fingerprint(t, width), strict=True)) for t in texts], kind)
+        return pa.array([dict(zip(("fp", "size", "small"), wide_fingerprint(t, width, largest=largest), strict=True)) for t in texts], kind)
 
-    fps = append_column(rows.select(F.col("_row").alias("row"), F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), text_of(text_column).alias("t")), F.col("t"), run, "f", "struct<fp: binary, size: long>")
-    fps = written(fps.select("row", "doc", "f.fp", "f.size"), "wide-fingerprints")
-    reps = written(fps.groupBy("fp", "size").agg(F.min("row").alias("node")).withColumn("band", F.when(F.col("size") == 0, -1).otherwise(F.floor(F.log(F.col("size").cast("double")) / math.log(1 / similarity) + 1e-9))), "sets")
+    fps = append_column(rows.select(F.col("_row").alias("row"), F.coalesce(F.col(id_column).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), text_of(text_column).alias("t")), F.col("t"), run, "f", "struct<fp: binary, size: long, small: array<long>>")
+    fps = written(fps.select("row", "doc", "f.fp", "f.size", "f.small"), "wide-fingerprints")
+    reps = written(fps.groupBy("fp", "size").agg(F.min("row").alias("node"), F.first("small").alias("small")).withColumn("band", F.when(F.col("size") == 0, -1).otherwise(F.floor(F.log(F.col("size").cast("double")) / math.log(1 / similarity) + 1e-9))), "sets")
 
     # Whoever has a near pair is in a link of the first comparison; the second one is of these alone, and looks into their sets.
-    sized = reps.where("size > 0")
+    small = _small_links(reps.where(f"size between 1 and {largest}"), similarity)
+    sized = reps.drop("small").where(F.col("size") > SMALL)
     near = _tile_links(sized, radius)
     linked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     some = rows.select(F.col("_row").alias("node"), text_of(text_column).alias("t")).join(linked, "node", "left_semi")
     places, folder = _store_sets(some, width)
     verified = _tile_links(sized.join(places, "node"), radius, similarity)
     discard(spark, near, places, folder)
-    roots = components(verified).withColumnRenamed("node", "member")
+    roots = components(verified.union(small)).withColumnRenamed("node", "member")
     group = reps.join(roots, F.col("node") == F.col("member"), "left").select(F.col("fp").alias("gfp"), F.col("size").alias("gsize"), F.coalesce("root", "node").alias("group"))
     members = fps.join(group, (F.col("fp") == F.col("gfp")) & (F.col("size") == F.col("gsize")))
     stays = members.groupBy("group").agg(F.min(F.struct("doc", "row")).alias("first")).select(F.col("first.row").alias("_row"))

@@ -310,6 +310,20 @@ def test_distinct_documents_around_the_similarity(spark):
     assert sorted(r.doc_id for r in near_documents.distinct_documents(df).collect()) == distinct_by_force(rows)
 
 
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_distinct_short_documents(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_documents, "SET_TILE", tile, raising=False)
+    make, rng = prose(0)
+    rows = []
+    for n in [8] * 60 + [10, 16, 19, 30, 36, 37, 44] * 4:
+        text = make(n)
+        rows += [text, f"{text} {make(1)}", f"{make(1)} {text} {make(1)}"]
+    stem = make(40)
+    rows += [f"{stem} {make(rng.randrange(1, 5))}" for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in near_documents.distinct_documents(df).collect()) == distinct_by_force(rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
