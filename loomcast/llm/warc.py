@@ -141,11 +141,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     folder = folder or shared_folder(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
-    # Only ids and digests take part in finding revisits; payloads are dealt once, by page_id.
+    # Only ids and digests take part in finding revisits; payloads are dealt once, by page_id and digest.
     ids = rows.where(F.length("payload") >= min_bytes).select("page_id", "sha1")
     first = ids.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = ids.join(first, "sha1").where("page_id IS DISTINCT FROM refers_to").groupBy(F.col("page_id").alias("again")).agg(F.min(F.struct("refers_to")).alias("r"))
-    some = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("again")), "left").select("page_id", "url", "payload", "sha1", F.col("r.refers_to").alias("refers_to"), F.col("r").isNotNull().alias("is_revisit"))
+    revisits = ids.join(first, "sha1").where("page_id IS DISTINCT FROM refers_to").select(F.col("page_id").alias("again"), F.col("sha1").alias("again_sha1"), "refers_to").distinct()
+    # By id and digest: rows that share an id (or have none) may have different payloads.
+    same = F.col("page_id").eqNullSafe(F.col("again")) & (F.col("sha1") == F.col("again_sha1"))
+    some = rows.join(revisits, same, "left").select("page_id", "url", "payload", "sha1", "refers_to", F.col("again_sha1").isNotNull().alias("is_revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0

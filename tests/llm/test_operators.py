@@ -136,6 +136,14 @@ def test_warc(spark):
     assert not warc.read_archives(warc.write_archives(pages.where("false"))).collect()
 
 
+def test_warc_repeated_ids(spark):
+    rows = [(0, "a", "same"), (None, "b", "same"), (None, "c", "own"), (None, "d", "again"), (None, "e", "again"), (7, "f", "same"), (7, "g", "other"), (7, "h", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.url: (r.page_id, r.record_type, r.refers_to, r.payload and bytes(r.payload)) for r in warc.read_archives(warc.write_archives(pages)).collect()}
+    again = {"b", "f", "h"}
+    assert found == {url: (k, "revisit", 0, None) if url in again else (k, "response", None, html.encode()) for k, url, html in rows}
+
+
 @pytest.mark.parametrize("zip64", [None, True])
 def test_zip_directory(zip64, tmp_path):
     import zipfile
