@@ -59,9 +59,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier line is at least 0.8 similar to."""
-    kept = lines.dedup_lines(docs.withColumn("loom_old", F.col("text")), threshold=0.8, shingle=5)
-    changed = ~F.col("text").eqNullSafe(F.col("loom_old"))
-    return kept.select(*[F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    kept = lines.dedup_lines(docs, threshold=0.8, shingle=5, changed="loom_changed")
+    return kept.select(*[F.when(F.col("loom_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 @_stage

@@ -1,7 +1,7 @@
 """Operator 3: line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are the set of its word shingles (of all its words, if it has fewer than a shingle).
-A line goes if an earlier line, by doc_id and then place, has a Jaccard similarity of at least the
+Each row is a document. A line goes if an earlier line, by doc_id, row and then place, has a Jaccard similarity of at least the
 threshold, whether that one goes itself or not; equal token sets are similarity 1.
 
 1. Rarity: a pass over all lines counts shingles by cell of their hash; the driver gets the counts of
@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcast.llm.shared import discard, shared_root, written
+from loomcast.llm.shared import discard, written
 
 CELLS = 1 << 14
 HASH_BITS = 56
@@ -79,43 +79,63 @@ def _least_shared(n: Column, m: Column, threshold: float) -> Column:
     return F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
 
 
+def _numbered(docs: DataFrame, id_column: str) -> DataFrame:
+    """``docs`` with ``loom_row``, a number of each row: its id where all rows have ids of their own, or else
+    one that is written once with the rows, so that it stays."""
+    ids = F.col(id_column).cast("long").alias("loom_row")
+    if docs.select(ids).groupBy("loom_row").count().where("count > 1 or loom_row is null").isEmpty():
+        return docs.withColumn("loom_row", ids)
+    return written(docs.withColumn("loom_row", F.monotonically_increasing_id()), "numbered")
+
+
 def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (sorted line numbers from 0) of each document id.
+    """doc_id, n_lines, n_removed, removed (sorted line numbers from 0) of each row.
 
     Lines end at newlines. Lines without a word are never removed and null texts are one such line. A
-    null id comes after all others. Rows that repeat an id are taken as one document whose lines at a
-    place are alternatives: they do not remove each other, and a place goes if any of them does. An
-    empty table gives no rows; other columns take no part."""
-    spark = docs.sparkSession
-    shared_root(spark)
-    ranks = rarity_ranks(docs, shingle, text_column)
+    null id comes after all others. Rows that repeat an id, or have none, are documents of their own, in
+    any order among themselves. An empty table gives no rows; other columns take no part."""
+    rows = _numbered(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "doc_id")
+    found = _removed(rows, threshold, shingle).drop("row")
+    discard(docs.sparkSession, *([rows] if "loom_folder" in vars(rows) else []))
+    return found
+
+
+def _removed(rows: DataFrame, threshold: float, shingle: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """row, doc_id, n_lines, n_removed, removed of each row of ``rows``, which have numbers."""
+    spark = rows.sparkSession
+    ranks = rarity_ranks(rows, shingle, text_column)
     # A null id sorts last.
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    base = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    docs = rows.select(F.col("loom_row").alias("row"), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    base = docs.select("row", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     with_tokens = with_hashes(with_words(base), shingle).withColumn("tokens", _by_rarity(ranks))
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, F.greatest(n - F.ceil(n * threshold - 1e-9).cast("int") + 1, F.lit(1)))
-    lines = with_tokens.select("doc", "doc_id", "line_no", n.alias("n"), prefix.alias("prefix"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"))
-    lines = written(lines, "lines")
-
-    sets = lines.where("n > 0").groupBy("k1", "k2", "n", "prefix").agg(F.min(F.col("doc").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("line_no")).alias("at"))
-    sets = written(sets.select("k1", "k2", "n", "prefix", F.expr(f"cast(at div {1 << 31} as long)").alias("doc"), F.expr(f"cast(at % {1 << 31} as int)").alias("line_no")), "line-sets")
+    # A line's place is its number in the order they are written in, in which lines of a row follow each other.
+    # Lines are known by their places and ordered by doc and place.
+    lines = with_tokens.select("row", "doc", "doc_id", "line_no", n.alias("n"), prefix.alias("prefix"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"))
+    lines = written(lines.withColumn("place", F.monotonically_increasing_id()), "lines")
+
+    # A place has at most 62 bits: the partition's number and 33 bits.
+    step = F.lit(1 << 62).cast("decimal(19,0)")
+    sets = lines.where("n > 0").groupBy("k1", "k2", "n", "prefix").agg(F.min(F.col("doc").cast("decimal(38,0)") * step + F.col("place")).alias("at"))
+    place = f"pmod(at, {1 << 62}BD)"
+    sets = written(sets.select("k1", "k2", "n", "prefix", F.expr(f"(at - {place}) div {1 << 62}BD").alias("doc"), F.expr(f"cast({place} as long)").alias("place")), "line-sets")
     # Of the lines only the sets they belong to are needed from here on.
-    wide, lines = lines, written(lines.select("doc_id", "doc", "line_no", "k1", "k2"), "lines-of-sets")
+    wide, lines = lines, written(lines.select("row", "doc_id", "line_no", "place", "k1", "k2"), "lines-of-sets")
     discard(spark, wide)
 
-    postings = sets.select("doc", "line_no", "n", F.posexplode("prefix").alias("pos", "token"))
-    postings = postings.select("token", "doc", "line_no", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("npos"))
-    same = Window.partitionBy("token").orderBy("doc", "line_no", "npos")
-    at = F.struct("doc", "line_no", "npos")
+    postings = sets.select("doc", "place", "n", F.posexplode("prefix").alias("pos", "token"))
+    postings = postings.select("token", "doc", "place", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("npos"))
+    same = Window.partitionBy("token").orderBy("doc", "place", "npos")
+    at = F.struct("doc", "place", "npos")
     shared = postings.withColumn("first", F.first(at).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("before", F.lag("token").over(same)).withColumn("after", F.lead("token").over(same)).where("before is not null or after is not null")
 
     def n_and_pos(npos: str) -> tuple[Column, Column]:
         return F.shiftright(npos, 32).cast("int"), F.col(npos).bitwiseAND((1 << 32) - 1).cast("int")
 
     (n, pos), (first_n, first_pos) = n_and_pos("npos"), n_and_pos("first.npos")
-    first = F.struct(F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no"), first_n.alias("n"), first_pos.alias("pos"))
-    shared = written(shared.select("token", "doc", "line_no", n.alias("n"), pos.alias("pos"), first.alias("first")), "shared-postings")
+    first = F.struct(F.col("first.place").alias("place"), first_n.alias("n"), first_pos.alias("pos"))
+    shared = written(shared.select("token", "doc", "place", n.alias("n"), pos.alias("pos"), first.alias("first")), "shared-postings")
     discard(spark)
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -123,50 +143,52 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
         least = _least_shared(F.col("xn"), F.col("yn"), threshold)
         rest = F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos"))  # positions from 0, this token included
         near = (F.least("xn", "yn") >= F.ceil(F.greatest("xn", "yn") * threshold - 1e-9)) & (rest >= least)
-        return pairs.where(near).select("xdoc", "xline", "ydoc", "yline").distinct()
+        return pairs.where(near).select("xplace", "yplace").distinct()
 
-    x = [F.col("doc").alias("xdoc"), F.col("line_no").alias("xline"), F.col("n").alias("xn"), F.col("pos").alias("xpos")]
-    y = [F.col(f"first.{c}").alias(f"y{d}") for c, d in (("doc", "doc"), ("line_no", "line"), ("n", "n"), ("pos", "pos"))]
-    to_first = likely(shared.select(*x, *y).where("xdoc <> ydoc or xline <> yline"))
+    x = [F.col("place").alias("xplace"), F.col("n").alias("xn"), F.col("pos").alias("xpos")]
+    y = [F.col(f"first.{c}").alias(f"y{d}") for c, d in (("place", "place"), ("n", "n"), ("pos", "pos"))]
+    to_first = likely(shared.select(*x, *y).where("xplace <> yplace"))
 
     # Whole token sets of the lines that share a token, made again from the texts.
-    involved = written(shared.select("doc", "line_no").distinct(), "involved")
-    some = docs.withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(involved.groupBy("doc").agg(F.collect_set("line_no").alias("wanted")), "doc")
-    wanted = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, k: F.struct(k.alias("line_no"), line.alias("line"))), lambda x: F.array_contains("wanted", x.line_no))
-    some = some.select("doc", F.inline(wanted))
-    whole = written(with_hashes(with_words(some), shingle).select("doc", "line_no", _by_rarity(ranks).alias("tokens")), "whole-lines")
+    involved = written(lines.join(shared.select("place").distinct(), "place", "left_semi").select("row", "line_no", "place"), "involved")
+    discard(spark)
+    some = docs.join(involved.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "place"))).alias("wanted")), "row")
+    wanted = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, k: F.struct(F.element_at("wanted", k).alias("place"), line.alias("line"))), lambda x: x.place.isNotNull())
+    some = some.select(F.inline(wanted))
+    whole = written(with_hashes(with_words(some), shingle).select("place", _by_rarity(ranks).alias("tokens")), "whole-lines")
     discard(spark)  # the shuffled texts
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """doc, line_no of the x of pairs that are similar."""
-        left = whole.select(F.col("doc").alias("xdoc"), F.col("line_no").alias("xline"), F.col("tokens").alias("a"))
-        right = whole.select(F.col("doc").alias("ydoc"), F.col("line_no").alias("yline"), F.col("tokens").alias("b"))
-        both = pairs.join(left, ["xdoc", "xline"]).join(right, ["ydoc", "yline"])
+        """place of the x of pairs that are similar."""
+        left = whole.select(F.col("place").alias("xplace"), F.col("tokens").alias("a"))
+        right = whole.select(F.col("place").alias("yplace"), F.col("tokens").alias("b"))
+        both = pairs.join(left, "xplace").join(right, "yplace")
         common = F.size(F.array_intersect("a", "b"))
-        return both.where(common >= _least_shared(F.size("a"), F.size("b"), threshold)).select(F.col("xdoc").alias("doc"), F.col("xline").alias("line_no")).distinct()
+        return both.where(common >= _least_shared(F.size("a"), F.size("b"), threshold)).select(F.col("xplace").alias("place")).distinct()
 
     gone = written(verified(to_first), "gone")
     discard(spark)
-    open_lines = shared.join(gone, ["doc", "line_no"], "left_anti")
+    open_lines = shared.join(gone, "place", "left_anti")
     # The first line of each token has been compared; lines that are the first of all their tokens have nothing earlier.
-    open_lines = open_lines.where("doc <> first.doc or line_no <> first.line_no").select(*x, "token")
-    earlier = shared.where("doc <> first.doc or line_no <> first.line_no").select(F.col("doc").alias("ydoc"), F.col("line_no").alias("yline"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("token"))
-    to_all = open_lines.join(earlier, "token").where("ydoc < xdoc or ydoc = xdoc and yline < xline")
-    first_gone, gone = gone, written(gone.union(verified(likely(to_all))).distinct().select(F.col("doc").alias("gdoc"), F.col("line_no").alias("gline")), "gone")
+    open_lines = open_lines.where("place <> first.place").select(*x, F.col("doc").alias("xdoc"), "token")
+    earlier = shared.where("place <> first.place").select(F.col("doc").alias("ydoc"), F.col("place").alias("yplace"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("token"))
+    to_all = open_lines.join(earlier, "token").where("ydoc < xdoc or ydoc = xdoc and yplace < xplace")
+    first_gone, gone = gone, written(gone.union(verified(likely(to_all))).distinct().select(F.col("place").alias("gplace")), "gone")
     discard(spark, first_gone, shared, involved, whole)
 
-    at_first = [F.col("doc").alias("fdoc"), F.col("line_no").alias("fline")]
-    verdict = sets.select("k1", "k2", *at_first).join(gone, (F.col("fdoc") == F.col("gdoc")) & (F.col("fline") == F.col("gline")), "left").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "fdoc", "fline", F.col("gdoc").isNotNull().alias("goes"))
-    judged = lines.select("doc_id", "doc", "line_no", "k1", "k2").join(verdict, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left")
-    goes = F.coalesce(F.col("goes") | (F.col("doc") != F.col("fdoc")) | (F.col("line_no") != F.col("fline")), F.lit(False))
+    verdict = sets.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("place").alias("fplace")).join(gone, F.col("fplace") == F.col("gplace"), "left").select("s1", "s2", "fplace", F.col("gplace").isNotNull().alias("goes"))
+    judged = lines.join(verdict, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left")
+    goes = F.coalesce(F.col("goes") | (F.col("place") != F.col("fplace")), F.lit(False))
     gone_at = F.sort_array(F.collect_set(F.when(goes, F.col("line_no"))))
-    return judged.groupBy("doc_id").agg((F.max("line_no") + 1).cast("long").alias("n_lines"), F.size(gone_at).cast("long").alias("n_removed"), gone_at.alias("removed"))
+    return judged.groupBy("row", "doc_id").agg((F.max("line_no") + 1).cast("long").alias("n_lines"), F.size(gone_at).cast("long").alias("n_removed"), gone_at.alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text", changed: str | None = None) -> DataFrame:
     """``docs`` with its removed lines cut out of the texts. Texts that lose nothing, null ones too, stay
-    as they are; all columns and rows stay."""
-    gone = removed_lines(docs, threshold, shingle, id_column, text_column).where("n_removed > 0").select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_gone"))
+    as they are; all columns and rows stay. ``changed`` names a column to add: whether a text lost lines."""
+    rows = _numbered(docs, id_column)
+    gone = _removed(rows, threshold, shingle, id_column, text_column).where("n_removed > 0").select(F.col("row").alias("_gone_row"), F.col("removed").alias("_gone"))
     kept = F.array_join(F.filter(F.transform(F.split(text_column, "\n"), lambda line, k: F.when(~F.array_contains("_gone", k), line)), lambda line: line.isNotNull()), "\n")
-    both = docs.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("_gone_id")), "left")
-    return both.select(*[(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_column else F.col(c)) for c in docs.columns])
+    both = rows.join(gone, F.col("loom_row") == F.col("_gone_row"), "left")
+    more = [F.col("_gone").isNotNull().alias(changed)] if changed else []
+    return both.select(*[(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_column else F.col(c)) for c in docs.columns], *more)

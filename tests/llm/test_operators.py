@@ -261,6 +261,20 @@ def test_lines(spark):
     assert not lines.removed_lines(df.where("false")).collect()
 
 
+def test_lines_of_rows_without_an_id_of_their_own(spark):
+    make, _ = prose(0)
+    twice, four, once = make(30), make(30), [make(30) for _ in range(8)]
+    rows = [(None, f"{once[0]}\n{twice}"), (None, f"{once[1]}\n{twice}\n{once[2]}"), (None, None), (-5, f"{once[3]}\n{four}\n{once[4]}"), (-5, f"{once[5]}\n{four}\n{four}"), (8, f"{four}\n{once[6]}"), (None, f"{once[7]}\n{four}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = lines.dedup_lines(df).collect()
+    assert len(out) == len(rows) and sum(r.text is None for r in out) == 1
+    assert sorted(x for r in out if r.text is not None for x in r.text.split("\n")) == sorted([*once, twice, four])
+    assert {r.doc_id for r in out if r.text and four in r.text} == {-5}
+    found = lines.removed_lines(df).collect()
+    assert sorted((r.doc_id or 0, r.n_lines) for r in found) == sorted((k or 0, len((t or "").split("\n"))) for k, t in rows)
+    assert sum(r.n_removed for r in found) == 5
+
+
 def test_substrings(spark, monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK_WORDS", 150)
     monkeypatch.setattr(substrings, "BYTES_AT_ONCE", 64)
