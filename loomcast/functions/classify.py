@@ -109,6 +109,34 @@ def classify(error: BaseException) -> str:
     return "logic_error" if names & set(LOGIC_TYPES) else "unknown"
 
 
+def classify_provider(error: BaseException) -> str:
+    """The provider cascade on an exception."""
+    names, text = set(mro_of(error)), str(error).lower()
+    limited, late = any(t in text for t in RATE_LIMIT_TEXTS), any(t in text for t in TIMEOUT_TEXTS)
+    if "FrameworkTimeoutError" in names:
+        return "framework_timeout"
+    if "ClientError" in names:
+        return "rate_limit" if limited else "client_error"
+    if "ServerError" in names:
+        return "server_timeout" if late else "server_error"
+    if "UnexpectedModelBehavior" in names:
+        return "validation_error"
+    if limited or late:
+        return "rate_limit" if limited else "timeout"
+    if "ValidationError" in names:
+        return "validation_error"
+    return "logic_error" if names & set(LOGIC_TYPES) else "unknown"
+
+
+def safely(classifier, error: BaseException) -> str:
+    """The classifier's category; ``unknown`` if it fails or names none of CATEGORIES."""
+    try:
+        category = classifier(error)
+    except Exception:
+        return "unknown"
+    return category if category in CATEGORIES else "unknown"
+
+
 def retry_needs_no_wait(error: BaseException, category: str) -> bool:
     name = type(error).__name__.lower()
     return "validation" in name or "parse" in name or "unexpectedmodelbehavior" in name or "result validation" in str(error).lower() or category == "validation_error"

@@ -59,6 +59,43 @@ def events(attempts: DataFrame) -> DataFrame:
     return rows.withColumn("ts", F.timestamp_seconds(F.col("started_at") + F.when(F.col("event") == "ITEM_STARTED", 0.0).otherwise(F.col("duration"))))
 
 
+def run_events(attempts: DataFrame) -> DataFrame:
+    """Rows (event, partition_id, ts, duration, consecutive) of what is not about one item: cooldowns, workers
+    (a partition's first and last attempt) and the batch (those of all). An empty log has none."""
+    end = F.col("started_at") + F.col("duration")
+    no_int, no_double = F.lit(None).cast("int"), F.lit(None).cast("double")
+
+    def two(rows: DataFrame, first: str, last: str, partition, duration, consecutive) -> DataFrame:
+        both = F.array(F.struct(F.lit(first).alias("event"), F.col("begin").alias("at")), F.struct(F.lit(last).alias("event"), F.col("end").alias("at")))
+        return rows.select(F.explode(both).alias("e"), partition.alias("partition_id"), duration.alias("duration"), consecutive.alias("consecutive")).select("e.event", "partition_id", F.timestamp_seconds("e.at").alias("ts"), "duration", "consecutive")
+
+    pauses = attempts.where("cooldown is not null").select(end.alias("begin"), (end + F.col("cooldown")).alias("end"), "partition_id", "cooldown", "consecutive")
+    spans = [F.min("started_at").alias("begin"), F.max(end).alias("end")]
+    workers, batch = attempts.groupBy("partition_id").agg(*spans), attempts.agg(*spans).where("begin is not null")
+    return (
+        two(pauses, "COOLDOWN_STARTED", "COOLDOWN_ENDED", F.col("partition_id"), F.col("cooldown"), F.col("consecutive"))
+        .union(two(workers, "WORKER_STARTED", "WORKER_STOPPED", F.col("partition_id"), F.col("end") - F.col("begin"), no_int))
+        .union(two(batch, "BATCH_STARTED", "BATCH_COMPLETED", no_int, F.col("end") - F.col("begin"), no_int))
+        .select("event", "partition_id", "ts", F.coalesce("duration", no_double).alias("duration"), "consecutive")
+    )
+
+
+def all_events(attempts: DataFrame) -> DataFrame:
+    """``events`` and ``run_events``."""
+    return events(attempts).unionByName(run_events(attempts), allowMissingColumns=True)
+
+
+def since(log: DataFrame, ts) -> DataFrame:
+    """The events after ``ts``: metrics of these start from zero, as after a reset."""
+    return log.where(F.col("ts") > F.lit(ts))
+
+
+def metrics_dict(one: DataFrame, errors: DataFrame | None = None) -> dict:
+    """The one row of ``metrics`` as a dict, with ``error_counts`` if they are given (a row for each type)."""
+    out = one.first().asDict()
+    return out if errors is None else out | {"error_counts": {r["error_type"]: r["n"] for r in errors.collect()}}
+
+
 def metrics(log: DataFrame) -> DataFrame:
     """One row over events: what an observer that counts events has."""
 
@@ -90,10 +127,17 @@ def metrics_json(one: DataFrame) -> DataFrame:
     return one.select(F.to_json(F.struct(*one.columns)).alias("json"))
 
 
+def label_value(text: Column) -> Column:
+    """A label's value as the text format wants it: backslashes, quotes and newlines escaped."""
+    for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        text = F.replace(text, F.lit(raw), F.lit(shown))
+    return text
+
+
 def metric_rows(one: DataFrame, errors: DataFrame, prefix: str = "loomcast") -> DataFrame:
     """name, kind, help, label, value: what the Prometheus text is made of."""
     plain = F.array(*[F.struct(F.lit(f"{prefix}_{n}").alias("name"), F.lit(k).alias("kind"), F.lit(h).alias("help"), F.lit("").alias("label"), F.col(n).cast("double").alias("value")) for n, k, h in EXPORTED])
-    by_type = errors.select(F.lit(f"{prefix}_errors_total").alias("name"), F.lit("counter").alias("kind"), F.lit("Total errors by type").alias("help"), F.concat(F.lit('{error_type="'), F.replace("error_type", F.lit('"'), F.lit('\\"')), F.lit('"}')).alias("label"), F.col("n").cast("double").alias("value"))
+    by_type = errors.select(F.lit(f"{prefix}_errors_total").alias("name"), F.lit("counter").alias("kind"), F.lit("Total errors by type").alias("help"), F.concat(F.lit('{error_type="'), label_value(F.col("error_type")), F.lit('"}')).alias("label"), F.col("n").cast("double").alias("value"))
     return one.select(F.inline(plain)).union(by_type)
 
 

@@ -13,6 +13,7 @@ from loomcast.functions import classify, schedule
 from loomcast.operators import items as I
 from loomcast.operators import stats
 from loomcast.operators.infer import infer
+from loomcast.operators.infer import run as run_infer
 from loomcast.operators.strategies import SimulatedEndpoint
 from loomcast.plans.plan import InferencePlan, dry_run_output, skipped_results, word_count
 from loomcast.plans.rounds import run_rounds
@@ -46,18 +47,22 @@ def _log_path(session: int, sf_dir: str) -> str:
     import uuid
 
     spark = SparkSession.active()
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomcast-log-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="loomcast-log-")
     return f"{root.rstrip('/')}/attempts-{uuid.uuid4().hex}"
 
 
 def attempt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of all documents against the simulated endpoint: called once for a session and directory, then read."""
-    from loomcast.sources.log import append_attempts, read_attempts
+    from loomcast.sources.log import read_attempts
 
     path = _log_path(id(spark), sf_dir)
-    todo = remaining(docs(spark, sf_dir).withColumnRenamed("doc_id", "seq"), spark, path)
-    if not todo.isEmpty():
-        append_attempts(infer(todo, SIMULATED, CONFIG), path)
+    items = docs(spark, sf_dir).withColumnRenamed("doc_id", "seq")
+    if not remaining(items, spark, path).isEmpty():
+        run_infer(items, path, SIMULATED, CONFIG)
     return read_attempts(spark, path)
 
 
@@ -475,7 +480,7 @@ def hourly_events(spark, sf_dir):
 
 @query("SELECT error_type, pos::BIGINT AS attempt_no, count(*) AS n FROM (" + "SELECT * FROM (" + SIM + "SELECT error_type, attempt AS pos FROM attempts WHERE error_type IS NOT NULL)) GROUP BY 1, 2")
 def validation_error_log(spark, sf_dir):
-    """Failures by error type and attempt, of which a detailed log is made."""
+    """Failures by error type and attempt; ``validation_error_details`` has the fields."""
     return attempt_table(spark, sf_dir).where("error_type is not null").groupBy("error_type", F.col("attempt").cast("bigint").alias("attempt_no")).agg(F.count("*").alias("n"))
 
 

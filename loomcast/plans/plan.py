@@ -6,6 +6,9 @@ A filter above a Python operator stays above it, so what can spare a call must b
 
 from __future__ import annotations
 
+import functools
+import operator
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -16,7 +19,6 @@ from loomcast.config import EngineConfig
 from loomcast.operators import infer, stats
 from loomcast.operators.strategies import Strategy
 from loomcast.schema import DRY_RUN_PREFIX, SKIPPED, TOKENS
-from loomcast.sources.log import append_attempts, read_attempts, remaining
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -40,6 +42,51 @@ def skipped_results(items: DataFrame) -> DataFrame:
     return items.select("item_id", F.lit(False).alias("success"), null.alias("output"), F.lit(SKIPPED).alias("error"), no_tokens().alias("token_usage"), F.lit(0).cast("bigint").alias("failed_attempt_tokens"), F.lit(0).cast("bigint").alias("attempts"), F.lit(0).alias("generations"), context.alias("context"))
 
 
+class Middleware:
+    """Passes everything through; override what is needed and add it by ``InferencePlan.use``."""
+
+    def before(self, items: DataFrame) -> DataFrame:
+        return items
+
+    def skip(self) -> Column | None:
+        return None
+
+    def after(self, results: DataFrame) -> DataFrame:
+        return results
+
+    def on_error(self) -> Column | None:
+        """An output for a failed result, or null."""
+        return None
+
+
+def isolated(f: Transform, df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``f(df)``; a step that raises, or loses one of the columns ``keep``, is left out with a warning. What a
+    step does to a row is in expressions, which say themselves what a bad value gives (``try_`` functions)."""
+    try:
+        out = f(df)
+        if lost := [c for c in keep if c not in out.columns]:
+            raise ValueError(f"it loses {lost}")
+    except Exception as e:
+        warnings.warn(f"a failing step is left out: {type(e).__name__}: {e}", stacklevel=3)
+        return df
+    return out
+
+
+def _call_columns(items: DataFrame) -> list[str]:
+    """What a call depends on."""
+    return ["prompt", *[c for c in ("strategy", "model", "temperature") if c in items.columns]]
+
+
+def given_back(call: DataFrame, called: DataFrame, found: DataFrame) -> DataFrame:
+    """Results ``found`` of the items ``called`` (one for each distinct call) for all items ``call``, with their own contexts."""
+    keys = _call_columns(call)
+    own = call.select(F.col("item_id").alias("own_id"), (F.col("context").cast("string") if "context" in call.columns else F.lit(None).cast("string")).alias("own_context"), *[F.col(k).alias(f"own_{k}") for k in keys])
+    same = functools.reduce(operator.and_, [F.col(f"own_{k}").eqNullSafe(F.col(k)) for k in keys])
+    firsts = own.join(called.select("item_id", *keys), same).select("own_id", "own_context", "item_id")
+    both = firsts.join(found, "item_id")
+    return both.select(*[F.col("own_id").alias(c) if c == "item_id" else F.col("own_context").alias(c) if c == "context" else F.col(c) for c in found.columns])
+
+
 @dataclass(frozen=True)
 class InferencePlan:
     items: DataFrame
@@ -67,15 +114,26 @@ class InferencePlan:
         """An output for failed results; the first handler that gives one makes the result a success."""
         return replace(self, handlers=(*self.handlers, recovered))
 
+    def use(self, middleware: Middleware) -> InferencePlan:
+        """All hooks of ``middleware``: before-hooks run in the order of use, after-hooks in reverse."""
+        plan = self.before(middleware.before).after(middleware.after)
+        try:
+            skip, handler = middleware.skip(), middleware.on_error()
+        except Exception as e:
+            warnings.warn(f"a failing hook is left out: {type(e).__name__}: {e}", stacklevel=2)
+            return plan
+        plan = plan if skip is None else plan.skip(skip)
+        return plan if handler is None else plan.on_error(handler)
+
     def dedupe_prompts(self) -> InferencePlan:
-        """Call once for each prompt (and strategy), and give all items with it that result."""
+        """Call once for each prompt (with strategy, model and temperature, where there are any), and give all items with it that result."""
         return replace(self, reuse_prompts=True)
 
     def prepared(self) -> tuple[DataFrame, DataFrame]:
         """(items to call, items to skip)."""
         df = self.items
         for f in self.steps:
-            df = df.transform(f)
+            df = isolated(f, df, ("item_id", "prompt"))
         if not self.skips:
             return df, df.limit(0)
         skip = F.coalesce(self.skips[0], F.lit(False))
@@ -90,20 +148,16 @@ class InferencePlan:
     def _called(self, items: DataFrame) -> DataFrame:
         if not self.reuse_prompts:
             return items
-        keys = ["prompt", *[c for c in ("strategy",) if c in items.columns]]
-        return items.groupBy(*keys).agg(F.min("item_id").alias("item_id"))
+        return items.groupBy(*_call_columns(items)).agg(F.min("item_id").alias("item_id"))
 
     def run(self, path: str) -> DataFrame:
         """Call, write the log at ``path`` (items it already has are not called again), and return results."""
         call, skip = self.prepared()
         spark = self.items.sparkSession
         called = self._called(call)
-        append_attempts(infer.infer(remaining(called, spark, path), self.strategies, self.config), path)
-        found = stats.results(read_attempts(spark, path))
+        found = stats.results(infer.run(called, path, self.strategies, self.config))
         if self.reuse_prompts:
-            keys = ["prompt", *[c for c in ("strategy",) if c in call.columns]]
-            firsts = called.withColumnRenamed("item_id", "first_id")
-            found = call.select("item_id", *keys).join(firsts, keys).drop(*keys).join(found.withColumnRenamed("item_id", "first_id"), "first_id").drop("first_id")
+            found = given_back(call, called, found)
         return self.finish(found.unionByName(skipped_results(skip)))
 
     def finish(self, found: DataFrame) -> DataFrame:
@@ -116,6 +170,6 @@ class InferencePlan:
         if self.afters:
             good, bad = found.where("success"), found.where("not success")
             for f in reversed(self.afters):
-                good = good.transform(f)
+                good = isolated(f, good, ("item_id", "success"))
             found = good.unionByName(bad, allowMissingColumns=True)
         return found

@@ -7,6 +7,7 @@ A run that was cut off goes on where the log ends.
 
 from __future__ import annotations
 
+import itertools
 import time
 from dataclasses import replace
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.config import EngineConfig, RetryConfig
+from loomcast.functions.classify import is_validation
 from loomcast.operators.infer import infer
 from loomcast.operators.strategies import Strategy
 from loomcast.schema import FINAL
@@ -27,10 +29,16 @@ class OneAttempt(Strategy):
         self.inner, self.attempt = inner, attempt
 
     def for_item(self, item_id: str, generation: int) -> OneAttempt:
-        # Rounds hand ids over as id, generation and attempt.
+        # Rounds hand ids over as id, generation and attempt; earlier validation failures come with the item.
         own, generation, attempt = item_id.rsplit("\x1f", 2)
         return OneAttempt(self.inner.for_item(own, int(generation)), int(attempt))
 
+    def resume(self, validation_failures: int) -> None:
+        self.inner.resume(validation_failures)
+
+    def described(self, attempt: int) -> dict:
+        return self.inner.described(self.attempt)
+
     async def prepare(self) -> None:
         await self.inner.prepare()
 
@@ -46,19 +54,21 @@ class OneAttempt(Strategy):
 
 def open_items(items: DataFrame, log: DataFrame, max_attempts: int, max_generations: int | None) -> DataFrame:
     """Items without a final attempt, with the generation and attempt that come next."""
-    last = log.groupBy("item_id").agg(F.max_by(F.struct("state", "generation", "attempt"), F.struct("generation", "attempt")).alias("last"))
+    failed = F.count_if(is_validation(F.col("error_type"), F.col("error_message"), F.col("error.error_category")) & F.col("error_type").isNotNull())
+    last = log.groupBy("item_id").agg(F.max_by(F.struct("state", "generation", "attempt"), F.struct("generation", "attempt")).alias("last"), failed.cast("int").alias("n_failed"))
     both = items.join(last, "item_id", "left").where(F.col("last").isNull() | ~F.col("last.state").isin(*FINAL))
     limited = F.col("last.state") == "rate_limited"
-    return both.withColumn("generation", F.coalesce(F.col("last.generation") + limited.cast("int"), F.lit(1))).withColumn("attempt", F.when(F.col("last").isNull() | limited, 1).otherwise(F.col("last.attempt") + 1)).drop("last")
+    return both.withColumn("generation", F.coalesce(F.col("last.generation") + limited.cast("int"), F.lit(1))).withColumn("attempt", F.when(F.col("last").isNull() | limited, 1).otherwise(F.col("last.attempt") + 1)).withColumn("failures", F.coalesce("n_failed", F.lit(0))).drop("last", "n_failed")
 
 
-def run_rounds(items: DataFrame, path: str, strategies: dict[str, Strategy], config: EngineConfig = EngineConfig(), max_rounds: int = 100) -> DataFrame:
-    """The attempt log at ``path`` once no item is open, or after ``max_rounds``."""
+def run_rounds(items: DataFrame, path: str, strategies: dict[str, Strategy], config: EngineConfig = EngineConfig(), max_rounds: int | None = None) -> DataFrame:
+    """The attempt log at ``path`` once no item is open. Items that are open after ``max_rounds`` are an error; what
+    was called for stays in the log, so another run goes on from there."""
     spark = items.sparkSession
     once = replace(config, retry=replace(config.retry, max_attempts=1) if config.retry.max_attempts > 1 else RetryConfig(max_attempts=1), max_generations=None)
     single = {k: OneAttempt(s) for k, s in strategies.items()}
     consecutive = 0
-    for _ in range(max_rounds):
+    for number in itertools.count(1):
         todo = open_items(items, read_attempts(spark, path), config.retry.max_attempts, config.max_generations)
         tagged = todo.withColumn("item_id", F.concat_ws("\x1f", "item_id", F.col("generation").cast("string"), F.col("attempt").cast("string")))
         # One attempt each: a rate limit ends it, too.
@@ -71,11 +81,13 @@ def run_rounds(items: DataFrame, path: str, strategies: dict[str, Strategy], con
         state = F.when(F.col("state") == "success", "success").when(limited & ~capped, "rate_limited").when(limited, "exhausted").when(F.col("error.is_retryable") & (F.col("attempt") < config.retry.max_attempts), "retry").when(F.col("error.is_retryable"), "exhausted").otherwise("failed_final")
         append_attempts(found.withColumn("state", state), path)
         log = read_attempts(spark, path)
-        left = open_items(items, log, config.retry.max_attempts, config.max_generations).agg(F.count("*").alias("n"), F.count_if(F.col("attempt") == 1).alias("limited")).first()
+        left = open_items(items, log, config.retry.max_attempts, config.max_generations).agg(F.count("*").alias("n"), F.count_if(F.col("attempt") == 1).alias("limited"), F.min(F.when(F.col("attempt") > 1, F.col("attempt"))).alias("next")).first()
         if not left["n"]:
             break
+        if number == max_rounds:
+            raise RuntimeError(f"{left['n']} items are open after {max_rounds} rounds")
         limit = config.rate_limit
         consecutive = consecutive + 1 if left["limited"] else 0
-        pause = min(limit.cooldown_seconds * limit.backoff_multiplier ** (consecutive - 1), limit.max_cooldown) if consecutive else config.retry.initial_wait
+        pause = min(limit.cooldown_seconds * limit.backoff_multiplier ** (consecutive - 1), limit.max_cooldown) if consecutive else config.retry.wait(left["next"] - 1)
         time.sleep(pause * config.time_scale)
     return read_attempts(spark, path)

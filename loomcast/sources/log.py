@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import asyncio
+import itertools
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
+from loomcast.functions.threads import in_thread
 from loomcast.schema import ATTEMPTS, FINAL
 
 
@@ -39,18 +43,27 @@ def remaining(items: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     return items.join(done, "item_id", "left_anti")
 
 
-def write_results(results: DataFrame, path: str, partition_by: list[str] | None = None, kind: str = "parquet") -> None:
-    results.write.mode("overwrite").partitionBy(*(partition_by or [])).format(kind).save(path)
+def write_results(results: DataFrame, path: str, partition_by: list[str] | None = None, kind: str = "parquet", mode: str = "overwrite") -> None:
+    results.write.mode(mode).partitionBy(*(partition_by or [])).format(kind).save(path)
 
 
-def post_process(results: DataFrame, handle) -> None:
-    """Call ``handle(row)`` for each result, successes and failures; its exceptions are ignored. Results should be written first."""
+def post_process(results: DataFrame, handle, timeout: float | None = 30.0, at_once: int = 16) -> None:
+    """Call ``handle(row)`` for each result, successes and failures: an async function, or a sync one in a thread,
+    ``at_once`` at a time, each given up after ``timeout`` seconds. Its exceptions are ignored. Results
+    should be written first; a task that runs twice handles its rows twice."""
 
     def over(rows) -> None:
-        for row in rows:
+        async def one(row) -> None:
             try:
-                handle(row)
+                call = handle(row) if asyncio.iscoroutinefunction(handle) else in_thread(handle, row)
+                await asyncio.wait_for(call, timeout)
             except Exception:  # noqa: S110  a failing hook never fails an item
                 pass
 
+        async def all_of(some: list) -> None:
+            await asyncio.gather(*map(one, some))
+
+        for some in itertools.batched(rows, at_once):
+            asyncio.run(all_of(list(some)))
+
     results.foreachPartition(over)

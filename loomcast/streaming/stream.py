@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from loomcast.config import EngineConfig
-from loomcast.operators.infer import infer
+from loomcast.operators.infer import run
 from loomcast.operators.strategies import Strategy
-from loomcast.sources.log import append_attempts, remaining
 
 
 def infer_stream(items: DataFrame, path: str, checkpoint: str, strategies: dict[str, Strategy], config: EngineConfig = EngineConfig(), once: bool = True) -> StreamingQuery:
@@ -18,7 +17,7 @@ def infer_stream(items: DataFrame, path: str, checkpoint: str, strategies: dict[
     has are not called again, so a batch that runs twice calls only for what is missing."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        append_attempts(infer(remaining(batch, batch.sparkSession, path), strategies, config), path)
+        run(batch, path, strategies, config)
 
     writer = items.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from loomcast.plans import catalogue
+from loomcast.plans import catalogue, runs  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 
