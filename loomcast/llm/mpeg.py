@@ -4,8 +4,9 @@ A payload is stored losslessly as the ancillary bytes of MPEG-1 Layer III frames
 empty (such a file plays as silence). A file is: an ID3v2 tag with the payload's length and CRC-32; a
 frame with a Xing table (frames, bytes, 100 seek points); frames, each as short as its part of the
 payload allows, so that the bit rate varies; an ID3v1 tag. Every frame has a CRC-16 of its header and
-side information. Reading skips tags, finds frames by their headers, resynchronises after damage,
-verifies the checksums, and gives exact durations and the frames' offsets.
+side information. Reading parses the tags and the table (Xing, Info or VBRI), finds frames by their headers,
+resynchronises after damage, verifies the checksums, and gives exact durations and the frames' offsets.
+Damage is counted and never an error; an empty file has no frames.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ SIDE_BYTES = {MONO: 17, 0: 32, 1: 32, 2: 32}
 RATE_CODE = 2
 OVERHEAD = 4 + 2 + SIDE_BYTES[MONO] + 2  # header, checksum, side information, length of the frame's part
 BLOCK = 64
+TAG_NAME = b"loomcast"
 
 
 @functools.lru_cache(4096)
@@ -91,7 +93,7 @@ def encode(payload: bytes) -> bytes:
         frames.append(frame(bits, payload[at : at + ROOM[bits]]))
         at += ROOM[bits]
     total = sum(map(len, frames))
-    first = 144_000 * BIT_RATES[5] // SAMPLE_RATES[RATE_CODE]
+    first = 144_000 * BIT_RATES[5] // SAMPLE_RATES[RATE_CODE]  # the length of the Xing frame
     seek, place, k = [], 0, 0
     for percent in range(100):
         while k * 100 < percent * len(frames):
@@ -100,9 +102,9 @@ def encode(payload: bytes) -> bytes:
         seek.append(min(255, (first + place) * 256 // (first + total)))
     # The Xing frame has no part of the payload: its ancillary bytes are the table.
     xing = frame(5, b"Xing" + struct.pack(">III", 7, len(frames), first + total) + bytes(seek), marked=False)
-    text = f"payload={len(payload)};crc32={zlib.crc32(payload):08x}".encode("latin-1")
-    tag = b"TXXX" + struct.pack(">I", len(text) + 9) + bytes(3) + b"loomcast\0"[:8] + b"\0" + text
-    tag = tag[:4] + struct.pack(">I", len(tag) - 10) + tag[8:]
+    value = f"payload={len(payload)};crc32={zlib.crc32(payload):08x}".encode("latin-1")
+    body = b"\0" + TAG_NAME + b"\0" + value  # text in Latin-1: a description and a value
+    tag = b"TXXX" + struct.pack(">I", len(body)) + bytes(2) + body
     return b"".join((b"ID3\x03\0\0", synchsafe(len(tag)), tag, xing, *frames, b"TAG".ljust(127, b"\0") + b"\xff"))
 
 
@@ -115,7 +117,7 @@ class Audio:
     samples: int = 0
     rate: int = 0
     damaged: int = 0
-    table: tuple[int, int] | None = None
+    table: tuple[int | None, int | None] | None = None
     offsets: list[int] = field(default_factory=list)
     tag_length: int | None = None
     tag_crc32: int | None = None
@@ -130,19 +132,73 @@ class Audio:
         return f"frames={self.frames};samples={self.samples};rate={self.rate};us={self.samples * 1_000_000 // self.rate if self.rate else 0};vbr={self.table is not None:d};last={self.offsets[-1] if self.offsets else -1};ok={self.whole:d}"
 
 
+def unsynchsafe(raw: bytes) -> int:
+    return functools.reduce(lambda n, b: n << 7 | b & 127, raw, 0)
+
+
+def tag_frames(media: bytes) -> tuple[int, list[tuple[bytes, bytes]], bool]:
+    """Of an ID3v2 tag (versions 2.3 and 2.4) at the front: its length in bytes (0: there is none), its
+    frames (id, body) and whether it is whole. Damage ends the list of frames; it is never an error."""
+    if media[:3] != b"ID3" or len(media) < 10:
+        return 0, [], True
+    version, flags, size = media[3], media[5], unsynchsafe(media[6:10])
+    length = 10 + size + (10 if version == 4 and flags & 0x10 else 0)
+    body = media[10 : 10 + size]
+    if flags & 0x80:  # unsynchronised: a zero byte was put after each 0xFF
+        body = body.replace(b"\xff\0", b"\xff")
+    at, found = 0, []
+    if flags & 0x40 and len(body) >= 4:  # an extended header
+        at = unsynchsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    while at + 10 <= len(body) and body[at]:  # zero bytes are padding
+        kind, raw = body[at : at + 4], body[at + 4 : at + 8]
+        n = unsynchsafe(raw) if version == 4 else int.from_bytes(raw, "big")
+        if not kind.isalnum() or at + 10 + n > len(body):
+            return length, found, False
+        found.append((kind, body[at + 10 : at + 10 + n]))
+        at += 10 + n
+    return length, found, length <= len(media) and version in (3, 4)
+
+
+def own_tag(frames: list[tuple[bytes, bytes]]) -> tuple[int | None, int | None]:
+    """The payload's length and CRC-32 in the tag frames that ``encode`` writes; None where they are missing or no numbers."""
+    found: dict[bytes, int] = {}
+    for kind, body in frames:
+        if kind == b"TXXX" and body[:1] == b"\0" and body[1:].partition(b"\0")[0] == TAG_NAME:
+            for item in body[1:].partition(b"\0")[2].split(b";"):
+                key, _, value = item.partition(b"=")
+                if key == b"payload" and value.isdigit() and len(value) < 20:
+                    found[key] = int(value)
+                elif key == b"crc32" and len(value) == 8 and not value.strip(b"0123456789abcdef"):
+                    found[key] = int(value, 16)
+    return found.get(b"payload"), found.get(b"crc32")
+
+
+def rate_table(part: bytes, side: int) -> tuple[int | None, int | None] | None:
+    """(frames, bytes) of a variable-bitrate table in the first frame, whose bytes from its side information
+    on are ``part``: Xing or Info with the fields that its flags name, or VBRI. None if there is no whole one."""
+    after = part[side:]
+    if after[:4] in (b"Xing", b"Info") and len(after) >= 8:
+        flags, at, found = int.from_bytes(after[4:8], "big"), 8, []
+        for bit in (1, 2):
+            if flags & bit and len(after) < at + 4:
+                return None
+            found.append(int.from_bytes(after[at : at + 4], "big") if flags & bit else None)
+            at += 4 if flags & bit else 0
+        return found[0], found[1]
+    if part[32:36] == b"VBRI" and len(part) >= 50:  # always 32 bytes after the header
+        n_bytes, n_frames = struct.unpack_from(">II", part, 42)
+        return n_frames, n_bytes
+    return None
+
+
 def decode(media: bytes) -> Audio:
-    out, at, end, parts = Audio(), 0, len(media), []
-    if media[:3] == b"ID3" and len(media) >= 10:
-        size = functools.reduce(lambda n, b: n << 7 | b & 127, media[6:10], 0)
-        for item in media[10 : 10 + size].partition(b"\0payload=")[2][:64].decode("latin-1").split(";"):
-            key, _, value = item.partition("=")
-            if key.isdigit():
-                out.tag_length = int(key)
-            elif key == "crc32":
-                out.tag_crc32 = int(value[:8], 16)
-        at = 10 + size
+    out, end, parts = Audio(), len(media), []
+    at, tags, tag_whole = tag_frames(media)
+    out.tag_length, out.tag_crc32 = own_tag(tags)
+    out.damaged += not tag_whole
     if media[-128:-125] == b"TAG":
         end -= 128
+    begin = None
     lost = False
     while at < end:
         head = parse_header(media[at : at + 4])
@@ -159,17 +215,22 @@ def decode(media: bytes) -> Audio:
             if crc16(media[at + 2 : at + 4] + media[body + 2 : body + 2 + head.side]) != int.from_bytes(media[body : body + 2], "big"):
                 out.damaged += 1
             body += 2
+        begin = at if begin is None else begin
+        table = rate_table(media[body : at + head.size], head.side) if out.table is None and not out.frames else None
         body += head.side
-        if media[body : body + 4] == b"Xing" and out.table is None:
-            out.table = struct.unpack_from(">II", media, body + 8)
+        if table is not None:
+            out.table = table
         else:
             n = int.from_bytes(media[body : body + 2], "big")
+            out.damaged += body + 2 + n > at + head.size
             parts.append(media[body + 2 : min(body + 2 + n, at + head.size)])
             out.offsets.append(at)
             out.frames += 1
             out.samples += SAMPLES
             out.rate = head.rate
         at += head.size
+    if out.table is not None and out.table[1] is not None and begin is not None:
+        out.damaged += out.table[1] != at - begin  # the table counts its own frame too
     out.payload = b"".join(parts)
     return out
 
