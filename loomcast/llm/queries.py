@@ -61,8 +61,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents by the merge ranks, and what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, MULTI_BPE, public_tokenizers.PATTERN).select("doc_id", "ids")
-    both = bpe.decode(ids, MULTI_BPE, public_tokenizers.PATTERN)
+    both = bpe.round_trip(docs, MULTI_BPE, public_tokenizers.PATTERN)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

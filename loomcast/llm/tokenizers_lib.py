@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import functools
 import json
+from struct import pack
 
 import numpy as np
 
@@ -30,43 +31,43 @@ class LibraryEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self.symbols = {k: v for k, v in byte_symbols().items()}
+        self.symbols = byte_symbols()
+        self.space = self.symbols[ord(" ")]
+        self.tokenize = self.tokenizer.model.tokenize
         pre = spec["pre_tokenizer"]
         self.normalized = spec["normalizer"] is not None
         if not self.normalized and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
-            self.cache = WordCache(BYTE_LEVEL_PATTERN, self._model_words)
+            self.cache = WordCache(BYTE_LEVEL_PATTERN, self._ids)
         elif self.normalized:
             import regex
 
             self.split = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"]).findall
             self.inner: dict[str, bytes] = {}
-            self.cache = WordCache(r"\S+", self._normalized_words)
+            self.cache = WordCache(r"\S+", self._normalized, space="")
         else:
             raise ValueError(f"{path}: unknown pre-tokenizer")
 
     def _ids(self, word: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))
-        return np.fromiter((t.id for t in tokens), "<u4", len(tokens)).tobytes()
-
-    def _model_words(self, words: list[str]) -> list[bytes]:
-        return [self._ids(w) for w in words]
-
-    def _normalized_words(self, words: list[str]) -> list[bytes]:
+        if word.isascii() and word[1:].isalpha():
+            shown = self.space + word[1:] if word[0] == " " else word
+        else:
+            shown = word.encode().decode("latin-1").translate(self.symbols)
+        tokens = self.tokenize(shown)
+        return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def _normalized(self, w: str) -> bytes:
+        if w.isascii() and w.isalpha():
+            return self._ids(w.lower())
+        if max(w) > "\xff":
+            return np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.inner) > self.cache.limit:
             self.inner.clear()
-        out = []
-        for w in words:
-            if max(w) > "\xff":
-                ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-                out.append(np.array(ids, "<u4").tobytes())
-                continue
-            parts = []
-            for p in self.split(w.lower()):
-                if (ids := self.inner.get(p)) is None:
-                    ids = self.inner[p] = self._ids(p)
-                parts.append(ids)
-            out.append(b"".join(parts))
-        return out
+        return b"".join(self._part(p) for p in self.split(w.lower()))
+
+    def _part(self, p: str) -> bytes:
+        if (ids := self.inner.get(p)) is None:
+            ids = self.inner[p] = self._ids(p)
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [not any(a in t for a in self.added) for t in texts]

@@ -24,49 +24,125 @@ def unsafe(text: str) -> bool:
     return "  " in text or " \n" in text or " \t" in text or " \r" in text or text[-1:] == " " or RARE_SPACE.search(text) is not None
 
 
+#: Letters up to here are the same to ``str.isalpha`` and to any version of ``\p{L}``.
+LATIN = "\u0250"
+MARKS = frozenset(".,;:!?")
+
+
+def plain(piece: str) -> bool:
+    """Whether ``piece`` is letters alone, and not beyond LATIN."""
+    return piece.isalpha() and (piece.isascii() or max(piece) < LATIN)
+
+
+class Pieces(dict):
+    """A cache of what ``resolve`` gives for a piece."""
+
+    def __init__(self, resolve: Callable[[str], bytes]):
+        super().__init__()
+        self.resolve = resolve
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = found = self.resolve(piece)
+        return found
+
+
 class WordCache:
-    """``encode_words`` maps a list of pattern matches to a list of byte strings (any fixed form)."""
+    """Byte strings (any fixed form) of texts, from those of the pattern's matches. Either ``encode_word``
+    gives a match's string, or ``encode_words`` the strings of a list of matches, which is asked once for
+    all new ones of a call.
+
+    The pattern must match letters together, with ``space`` before them if it is there, and a mark after
+    them alone, or at least the strings must be as if it did: such pieces need no search."""
 
-    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], limit: int = CACHE_LIMIT):
+    def __init__(self, pattern: str, encode_word: Callable[[str], bytes] | None = None, encode_words: Callable[[list[str]], list[bytes]] | None = None, limit: int = CACHE_LIMIT, space: str = " "):
         self.find = regex.compile(pattern).findall
         self.encode_words = encode_words
+        self.encode_word = encode_word
         self.limit = limit
-        self.words: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}  # keys without the space that they begin with
+        self.words = Pieces(encode_word)
+        self.space = space
+        self.heads = Pieces(lambda piece: self.piece(piece, "", self.heads))
+        self.tails = Pieces(lambda piece: self.piece(piece, space, self.tails))  # keys without the space that they begin with
+
+    def piece(self, piece: str, space: str, cache: Pieces) -> bytes:
+        """The string of a piece, which is to be kept in ``cache``."""
+        if plain(piece):
+            return self.encode_word(space + piece)
+        if piece[-1:] in MARKS and plain(piece[:-1]):
+            return cache[piece[:-1]] + self.words[piece[-1]]
+        return self.joined(self.find(space + piece))
+
+    def joined(self, words: list[str]) -> bytes:
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """One byte string for each text: the words' strings, joined."""
         for cache, limit in ((self.words, 2 * self.limit), (self.heads, self.limit // 4), (self.tails, self.limit)):
             if len(cache) > limit:
                 cache.clear()
-        cut = []
-        whole: set[str] = set()
-        heads: set[str] = set()
-        tails: set[str] = set()
+        if self.encode_words:
+            return self._encode_together(texts)
+        head, tail = self.heads.__getitem__, self.tails.__getitem__
+        out = []
         for text in texts:
             if unsafe(text):
-                cut.append(found := self.find(text))
-                whole.update(found)
+                out.append(self.joined(self.find(text)))
+            else:
+                first, *pieces = text.split(" ")
+                out.append(head(first) + b"".join(map(tail, pieces)))
+        return out
+
+    def _encode_together(self, texts: Iterable[str]) -> list[bytes]:
+        """The same with ``encode_words``: all pieces are looked up, what is missing is encoded, and texts are joined."""
+        out: list[bytes | list[str]] = []
+        late: list[tuple[int, str, list[bytes | None], list[int], list[str]]] = []  # texts with new pieces, and where
+        firsts: set[str] = set()
+        rests: set[str] = set()
+        words: set[str] = set()
+        get = self.tails.get
+        for k, text in enumerate(texts):
+            if unsafe(text):
+                out.append(self.find(text))
+                words.update(out[-1])
+                continue
+            first, *rest = text.split(" ")
+            found = list(map(get, rest))
+            at = [i for i, f in enumerate(found) if f is None]
+            if at or first not in self.heads:
+                late.append((k, first, found, at, [rest[i] for i in at]))
+                rests.update(late[-1][-1])
+                firsts.add(first)
+                out.append(b"")
             else:
-                cut.append(tuple(pieces := text.split(" ")))
-                heads.add(pieces[0])
-                tails.update(pieces)
-        heads = {p for p in heads if p not in self.heads}
-        tails = {p for p in tails if p not in self.tails}
-        matches = {p: self.find(p) for p in heads}, {p: self.find(" " + p) for p in tails}
-        new = {w for w in whole if w not in self.words}
-        for found in matches:
-            new.update(w for ws in found.values() for w in ws if w not in self.words)
-        if new:
-            words = sorted(new)
-            self.words.update(zip(words, self.encode_words(words), strict=True))
-        word = self.words.__getitem__
-        for found, cache in zip(matches, (self.heads, self.tails), strict=True):
-            for p, ws in found.items():
-                cache[p] = b"".join(map(word, ws))
-        tail = self.tails.__getitem__
-        return [b"".join(map(word, c)) if isinstance(c, list) else self.heads[c[0]] + b"".join(map(tail, c[1:])) for c in cut]
+                out.append(self.heads[first] + b"".join(found))
+        wanted = [(self.heads, "", {p for p in firsts if p not in self.heads}), (self.tails, self.space, rests)]
+        letters: dict[tuple[str, str], Pieces] = {}  # (space, letters) and where they belong
+        later: list[tuple[Pieces, str, list[str] | None]] = []
+        for cache, space, some in wanted:
+            for p in some:
+                if plain(p):
+                    letters[space, p] = cache
+                elif p[-1:] in MARKS and plain(p[:-1]):
+                    words.add(p[-1])
+                    later.append((cache, p, None))
+                    if p[:-1] not in cache:
+                        letters[space, p[:-1]] = cache
+                else:
+                    later.append((cache, p, ws := self.find(space + p)))
+                    words.update(ws)
+        new = [w for w in words if w not in self.words]
+        if letters or new:
+            ids = self.encode_words([*map("".join, letters), *new])
+            for ((_, p), cache), x in zip(letters.items(), ids, strict=False):
+                cache[p] = x
+            self.words.update(zip(new, ids[len(letters) :], strict=True))
+        for cache, p, ws in later:
+            cache[p] = cache[p[:-1]] + self.words[p[-1]] if ws is None else self.joined(ws)
+        for k, first, found, at, some in late:
+            for i, p in zip(at, some, strict=True):
+                found[i] = self.tails[p]
+            out[k] = self.heads[first] + b"".join(found)
+        return [self.joined(x) if isinstance(x, list) else x for x in out]
 
 
 def byte_symbols() -> dict[int, str]:
