@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def _zeros_operator(n_bytes: int) -> np.ndarray:
     return out
 
 
-LANE = 128
+LANE = 64
 
 
 def _lookup(op: np.ndarray) -> np.ndarray:
@@ -73,11 +74,23 @@ def _lookup(op: np.ndarray) -> np.ndarray:
 LANE_TABLES = [_lookup(_zeros_operator(LANE << k)) for k in range(34)]
 
 
+#: The states after two zero bytes, for the low 16 bits of the state before.
+CRC_PAIR = (CRC_TABLE[:, None] >> np.uint32(8) ^ CRC_TABLE[(CRC_TABLE[:, None] ^ np.arange(256, dtype="u4")[None]) & 255]).T.ravel().astype("u4")
+
+
+def crc32c_lengths(lengths: np.ndarray) -> np.ndarray:
+    """The CRC-32C of each 64-bit number's eight bytes, little-endian."""
+    state = np.full(len(lengths), 0xFFFFFFFF, "u4")
+    for pair in lengths.astype("<u8").view("<u2").reshape(-1, 4).T:
+        state = (state >> np.uint32(16)) ^ CRC_PAIR[(state ^ pair) & np.uint32(0xFFFF)]
+    return state ^ np.uint32(0xFFFFFFFF)
+
+
 def crc32c_many(data: list[bytes]) -> np.ndarray:
     """The CRC-32C of each byte string. All are cut into lanes of LANE bytes that run side by side in
-    numpy; each lane's state is then moved over the lanes behind it, and a string's lanes are summed.
-    Zero bytes in front of a string change nothing once its usual initial state is moved into its
-    first four bytes; strings under four bytes go byte by byte."""
+    numpy, two bytes a step; each lane's state is then moved over the lanes behind it, and a string's
+    lanes are summed. Zero bytes in front of a string change nothing once its usual initial state is
+    moved into its first four bytes; strings under four bytes go byte by byte."""
     out = np.zeros(len(data), "u4")
     for k, d in enumerate(data):
         if len(d) < 4:
@@ -91,17 +104,16 @@ def crc32c_many(data: list[bytes]) -> np.ndarray:
     sizes = np.array([len(data[k]) for k in long])
     lanes_of = -(-sizes // LANE)
     first = np.cumsum(lanes_of) - lanes_of
-    work = bytearray(int(lanes_of.sum()) * LANE)
-    for k, end, n in zip(long, ((first + lanes_of) * LANE).tolist(), sizes.tolist(), strict=True):
-        work[end - n : end] = data[k]
+    fronts = (lanes_of * LANE - sizes).tolist()
+    work = bytearray(b"".join([x for k, n in zip(long, fronts, strict=True) for x in (bytes(n), data[k])]))
     lanes = np.frombuffer(work, "u1")
     heads = (first + lanes_of) * LANE - sizes
     for k in range(4):
         lanes[heads + k] ^= 255
-    lanes = np.ascontiguousarray(lanes.reshape(-1, LANE).T)
-    state = np.zeros(lanes.shape[1], "u4")
-    for row in lanes:
-        state = (state >> np.uint32(8)) ^ CRC_TABLE[(state ^ row) & np.uint32(255)]
+    pairs = np.ascontiguousarray(lanes.view("<u2").reshape(-1, LANE // 2).T)
+    state = np.zeros(pairs.shape[1], "u4")
+    for pair in pairs:
+        state = (state >> np.uint32(16)) ^ CRC_PAIR[(state ^ pair) & np.uint32(0xFFFF)]
     behind = np.repeat(first + lanes_of, lanes_of) - 1 - np.arange(len(state))
     for level in range(int(behind.max()).bit_length()):
         at = np.flatnonzero((behind >> level) & 1)
@@ -119,27 +131,40 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 def framed(data: list[bytes]) -> list[bytes]:
     """Each byte string as a record."""
-    lengths = [struct.pack("<Q", len(d)) for d in data]
-    sums = masked(crc32c_many(lengths)).tolist(), masked(crc32c_many(data)).tolist()
-    return [b"".join((n, struct.pack("<I", a), d, struct.pack("<I", b))) for n, d, a, b in zip(lengths, data, *sums, strict=True)]
+    lengths = np.array([len(d) for d in data], "<u8")
+    sums = masked(crc32c_lengths(lengths)).tolist(), masked(crc32c_many(data)).tolist()
+    front, back = struct.Struct("<QI").pack, struct.Struct("<I").pack
+    return [b"".join((front(n, a), d, back(b))) for n, d, a, b in zip(lengths.tolist(), data, *sums, strict=True)]
 
 
 def unframed(raw: bytes) -> list[bytes]:
     """The data of the records that follow each other in ``raw``; ValueError if a checksum is wrong or a record is cut off."""
     lengths, data, sums, at = [], [], [], 0
+    front, back = struct.Struct("<QI"), struct.Struct("<I")
     while at < len(raw):
-        lengths.append(raw[at : at + 8])
-        if at + 12 > len(raw) or at + 16 + (n := int.from_bytes(lengths[-1], "little")) > len(raw):
+        n, a = front.unpack_from(raw, at) if at + 12 <= len(raw) else (0, 0)
+        if at + 16 + n > len(raw):
             raise ValueError(f"the record at {at} is cut off")
+        lengths.append(n)
         data.append(raw[at + 12 : at + 12 + n])
-        sums.append((*struct.unpack_from("<I", raw, at + 8), *struct.unpack_from("<I", raw, at + 12 + n)))
+        sums.append((a, *back.unpack_from(raw, at + 12 + n)))
         at += 16 + n
     stored = np.array(sums, "u4").reshape(-1, 2)
-    if (masked(crc32c_many(lengths)) != stored[:, 0]).any() or (masked(crc32c_many(data)) != stored[:, 1]).any():
+    if (masked(crc32c_lengths(np.array(lengths, "<u8"))) != stored[:, 0]).any() or (masked(crc32c_many(data)) != stored[:, 1]).any():
         raise ValueError("a record's checksum is wrong")
     return data
 
 
+def _in_parts(batch: pa.RecordBatch, rows: int = 2048, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of up to ``rows`` rows and about ``size`` bytes of text."""
+    ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy())
+    at = 0
+    while at < len(batch):
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, size + (ends[at - 1] if at else 0)))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, shard_bytes: int = 64 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Write all documents' ids, each with ``end_id`` at its end, in ascending order of id; returns the
     manifest, one row for each shard: shard (URI), place (of the shard in the order), part, n_records,
@@ -170,8 +195,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str
             return row
 
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                some = batch.slice(k, 256)
+            for some in _in_parts(batch):
                 ids = [np.frombuffer(i + end, "<u4") for i in encoder.encode(some["text"].to_pylist())]
                 data = [struct.pack(HEADER, doc is not None, doc or 0, width) + a.astype(f"<u{width}").tobytes() for doc, a in zip(some["doc_id"].to_pylist(), ids, strict=True)]
                 for record, a in zip(framed(data), ids, strict=True):
@@ -191,7 +215,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str
     return manifest.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def read_records(manifest: DataFrame, records_at_once: int = 500) -> DataFrame:
+def read_records(manifest: DataFrame, records_at_once: int = 2000) -> DataFrame:
     """doc_id, start (ids of all records before it), ids (little-endian unsigned 32-bit) of every record
     in the manifest's shards, read by the index in ranges of ``records_at_once``, checksums verified."""
 
@@ -208,9 +232,8 @@ def read_records(manifest: DataFrame, records_at_once: int = 500) -> DataFrame:
                         f.seek(int(offsets[k]))
                         docs, starts, found = [], [], []
                         for data in unframed(f.read(int(offsets[end] - offsets[k]))):
-                            has, doc, width = struct.unpack_from(HEADER, data)
-                            ids = np.frombuffer(data, f"<u{width}", offset=HEADER_SIZE)
-                            docs.append(doc if has else None)
+                            doc, ids = _parsed(data)
+                            docs.append(doc)
                             starts.append(start)
                             found.append(ids.astype("<u4").tobytes())
                             start += len(ids)
@@ -218,3 +241,35 @@ def read_records(manifest: DataFrame, records_at_once: int = 500) -> DataFrame:
 
     spark = manifest.sparkSession
     return manifest.select("shard", "first_id").repartition(partitions(spark)).mapInArrow(run, "doc_id long, start long, ids binary")
+
+
+def read_shuffled(manifest: DataFrame, seed: int = 0, records_at_once: int = 64) -> DataFrame:
+    """shard, record (its number there), doc_id, ids of every record, in an order that ``seed`` alone decides
+    within a shard: each record is sought by its offset in the index, and its checksums are verified. Shards
+    are dealt out by a hash with the seed. An empty manifest gives no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch["shard"].to_pylist():
+                files, path = open_fs(uri)
+                with files.open_input_file(f"{path}.idx") as f:
+                    offsets = np.frombuffer(f.read(), "<i8")
+                order = np.random.default_rng((seed, *path.rpartition("/")[2].encode())).permutation(len(offsets) - 1)
+                with files.open_input_file(path) as f:
+                    for k in range(0, len(order), records_at_once):
+                        raw = []
+                        for record in order[k : k + records_at_once].tolist():
+                            f.seek(int(offsets[record]))
+                            raw.append(f.read(int(offsets[record + 1] - offsets[record])))
+                        found = [_parsed(data) for data in unframed(b"".join(raw))]
+                        some = order[k : k + records_at_once]
+                        yield pa.RecordBatch.from_arrays([pa.array([uri] * len(some)), pa.array(some, pa.int64()), pa.array([d for d, _ in found], pa.int64()), pa.array([i.astype("<u4").tobytes() for _, i in found], pa.binary())], names=["shard", "record", "doc_id", "ids"])
+
+    dealt = manifest.select("shard").repartition(partitions(manifest.sparkSession), F.xxhash64("shard", F.lit(seed)))
+    return dealt.mapInArrow(run, "shard string, record long, doc_id long, ids binary")
+
+
+def _parsed(data: bytes) -> tuple[int | None, np.ndarray]:
+    """The id and the token ids of a record's data."""
+    has, doc, width = struct.unpack_from(HEADER, data)
+    return doc if has else None, np.frombuffer(data, f"<u{width}", offset=HEADER_SIZE)
