@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.graph import BLOCK, TILE, components, forest, group_bounds, in_groups, small_and_tiled, tile_pairs
+from loomcast.llm.graph import BLOCK, TILE, TileReader, components, forest, group_bounds, in_groups, small_and_tiled, tile_pairs
 from loomcast.llm.shared import written
 
 FOUND = "node long, other long, weight long"
@@ -133,14 +133,14 @@ def near_vectors(classes: DataFrame, threshold: float, tables: int, hashes: int,
                     yield out
 
     def in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = TileReader()
         for batch in batches:
-            for row in range(len(batch)):
+            for left, right in zip(batch["left"].to_pylist(), batch["right"].to_pylist(), strict=True):
                 sides = []
-                for c in ("left", "right"):
-                    values = batch[c][row].values
-                    sides.append((arrays(*(values.field(x).to_pylist() for x in ("node", "n", "vec", "codes")), values.field("dim")[0].as_py()), values.field("t")[0].as_py(), values.field("code")[0].as_py()))
-                (a, t, code), (b, _, _) = sides
-                if (out := found(a, None if batch["i"][row].equals(batch["j"][row]) else b, t, code)) is not None:
+                for tile in [read(uri) for uri in ((left,) if left == right else (left, right))]:
+                    sides.append(arrays(*(tile[x].to_pylist() for x in ("node", "n", "vec", "codes")), tile["dim"][0].as_py()))
+                    t, code = tile["t"][0].as_py(), tile["code"][0].as_py()
+                if (out := found(sides[0], sides[1] if len(sides) > 1 else None, t, code)) is not None:
                     yield out
 
     tiles = tile_pairs(cut, keys, ["node", "n", "vec", "codes", "dim", "t", "code"]).mapInArrow(in_tiles, FOUND)
@@ -153,15 +153,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 5
     Rows with equal labels link if their cosine is at least ``threshold``. Rows whose label is null, or
     whose vector is null, empty, zero or holds null or non-finite numbers, link with nothing. Vectors of
     different lengths never link. Of rows with the same id each has its own links; a component's id is its
-    smallest id, and a row with a null id is kept if the component has no other."""
+    smallest id, and a row with a null id is kept if the component has no other. Vectors of any finite size
+    link; an empty table gives no rows; other columns, whatever their names, take no part."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, keys, dims = [], [], []
             for x in batch["vec"].to_pylist():
                 v = np.array([np.nan if y is None else y for y in x], "f8") + 0.0 if x else None
-                with np.errstate(over="ignore"):
-                    good = v is not None and np.isfinite(v).all() and 0 < np.linalg.norm(v) < np.inf
+                good = v is not None and np.isfinite(v).all() and v.any()
+                if good and not 1e-100 < np.abs(v).max() < 1e100:  # its squares could over- or underflow
+                    v = np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) + 0.0
                 raw.append(v.tobytes() if good else None)
                 keys.append(hashlib.sha256(raw[-1]).digest() if good else None)
                 dims.append(len(v) if good else None)

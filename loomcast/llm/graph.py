@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from loomcast.llm.shared import partitions, written
+from loomcast.llm.shared import open_fs, partitions, put_file, shared_folder, written
 
 #: Rows of a group that one task compares; larger groups are cut into tiles of about this size.
 TILE = 2048
@@ -92,16 +94,55 @@ def small_and_tiled(rows: DataFrame, keys: list[str], tile: int, salt: str) -> t
     return small, cut
 
 
+def stored_tiles(cut: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, str]:
+    """``keys`` and uri of each tile (rows of ``cut`` with equal keys), whose ``columns`` are an Arrow file in
+    the shared folder; and that folder. So pairs of tiles are pairs of names, however large the tiles are."""
+    folder = shared_folder(cut.sparkSession, "tiles")
+    tiles = cut.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uris = []
+            for k in range(len(batch)):
+                rows = pa.RecordBatch.from_struct_array(batch["rows"][k].values)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as out:
+                    out.write_batch(rows)
+                uris.append(f"{folder}/{uuid.uuid4().hex}")  # a task that runs again writes files of its own
+                put_file(uris[-1], [sink.getvalue().to_pybytes()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(uris, pa.string())], names=[*batch.schema.names[:-1], "uri"])
+
+    schema = StructType([*tiles.schema.fields[:-1], StructField("uri", StringType())])
+    return written(tiles.mapInArrow(store, schema), "tile-names"), folder
+
+
+class TileReader:
+    """Reads stored tiles; the last few stay in memory."""
+
+    def __init__(self, most: int = 4):
+        self.most, self.kept = most, {}
+
+    def __call__(self, uri: str) -> pa.Table:
+        if (found := self.kept.pop(uri, None)) is None:
+            files, path = open_fs(uri)
+            with files.open_input_stream(path) as f:
+                found = pa.ipc.open_stream(f).read_all()
+        self.kept[uri] = found
+        while len(self.kept) > self.most:
+            del self.kept[next(iter(self.kept))]
+        return found
+
+
 def tile_pairs(cut: DataFrame, keys: list[str], columns: list[str], near: tuple[str, int] | None = None) -> DataFrame:
-    """Pairs of tiles of the same group, each once and with itself: ``left`` and ``right``, arrays of structs of
-    ``columns``. With ``near`` = (column, distance) a tile has one value of that column, and pairs of
-    tiles that are further apart are skipped."""
+    """Pairs of tiles of the same group, each once and with itself: ``left`` and ``right``, names of stored
+    tiles with ``columns``. With ``near`` = (column, distance) a tile has one value of that column, and
+    pairs of tiles that are further apart are skipped. Only names are joined; tasks read the tiles."""
     by = [near[0]] if near else []
-    tiles = cut.groupBy(*keys, *by, "cut").agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    tiles = written(tiles.withColumn("tile", F.struct(*by, "cut")), "tiles")
-    left = tiles.select(*keys, F.col("tile").alias("i"), F.col("rows").alias("left"))
-    right = tiles.select(*keys, F.col("tile").alias("j"), F.col("rows").alias("right"))
+    tiles, _ = stored_tiles(cut, [*keys, *by, "cut"], columns)
+    tiles = tiles.withColumn("tile", F.struct(*by, "cut"))
+    left = tiles.select(*keys, F.col("tile").alias("i"), F.col("uri").alias("left"))
+    right = tiles.select(*keys, F.col("tile").alias("j"), F.col("uri").alias("right"))
     pairs = left.join(right, keys).where("i <= j")
     if near:
         pairs = pairs.where(F.abs(F.col(f"i.{near[0]}") - F.col(f"j.{near[0]}")) <= near[1])
-    return pairs.select("i", "j", "left", "right").repartition(partitions(cut.sparkSession))
+    return pairs.select("left", "right").repartition(partitions(cut.sparkSession))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.graph import components, forest, group_bounds, in_groups, small_and_tiled, tile_pairs
+from loomcast.llm.graph import TileReader, components, forest, group_bounds, in_groups, small_and_tiled, stored_tiles, tile_pairs
 from loomcast.llm.shared import append_column, discard, open_fs, partitions, put_file, shared_folder, text_of, written
 from loomcast.llm.simhash import mixed, near_pairs, shingle_hashes
 
@@ -178,22 +178,22 @@ def _tile_links(reps: DataFrame, radius: int, similarity: float | None = None) -
     columns = ["node", "fp"] + (["uri", "at", "n"] if similarity else [])
     bands = reps.groupBy("band").agg(F.ceil(F.count("*") / TILE).alias("cuts"))
     cut = reps.join(bands, "band").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")))
-    tiles = written(cut.groupBy("band", "cut").agg(F.collect_list(F.struct(*columns)).alias("rows")), "tiles")
-    left = tiles.select(F.col("band").alias("i"), F.col("cut").alias("ic"), F.col("rows").alias("left"))
-    beside = [tiles.select((F.col("band") - k).alias("i"), F.col("band").alias("j"), F.col("cut").alias("jc"), F.col("rows").alias("right")) for k in (0, 1)]
+    tiles, folder = stored_tiles(cut, ["band", "cut"], columns)
+    left = tiles.select(F.col("band").alias("i"), F.col("cut").alias("ic"), F.col("uri").alias("left"))
+    beside = [tiles.select((F.col("band") - k).alias("i"), F.col("band").alias("j"), F.col("cut").alias("jc"), F.col("uri").alias("right")) for k in (0, 1)]
     pairs = left.join(beside[0].union(beside[1]), "i").where("i < j or i = j and ic <= jc")
     pairs = pairs.select((F.col("i") == F.col("j")).__and__(F.col("ic") == F.col("jc")).alias("same"), "left", "right").repartition(4 * partitions(reps.sparkSession))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stored = StoredSets()
+        stored, read = StoredSets(), TileReader()
         for batch in batches:
             for k in range(len(batch)):
                 sides, places = [], []
                 for c in ("left",) if batch["same"][k].as_py() else ("left", "right"):
-                    values = batch[c][k].values
-                    sides.append({"node": np.array(values.field("node")), "fp": np.frombuffer(b"".join(values.field("fp").to_pylist()), ">u8").astype("u8").reshape(-1, PARTS)})
+                    tile = read(batch[c][k].as_py())
+                    sides.append({"node": tile["node"].to_numpy(), "fp": np.frombuffer(b"".join(tile["fp"].to_pylist()), ">u8").astype("u8").reshape(-1, PARTS)})
                     if similarity:
-                        places += zip(*[values.field(c).to_pylist() for c in ("uri", "at", "n")], strict=True)
+                        places += zip(*[tile[c].to_pylist() for c in ("uri", "at", "n")], strict=True)
 
                 def check(i: int, j: int, places=places) -> bool:
                     return similar(stored.get(*places[i]), stored.get(*places[j]), similarity)
@@ -203,7 +203,7 @@ def _tile_links(reps: DataFrame, radius: int, similarity: float | None = None) -
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     links = written(pairs.mapInArrow(compare, "a long, b long").distinct(), "links")
-    discard(reps.sparkSession, tiles)
+    discard(reps.sparkSession, tiles, folder)
     return links
 
 
@@ -246,10 +246,11 @@ def _small_links(reps: DataFrame, similarity: float) -> DataFrame:
                     yield links(node[x:y], list(sets[x:y]))
 
     def in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = TileReader()
         for batch in batches:
-            for k in range(len(batch)):
-                sides = [batch[c][k].values for c in (("left",) if batch["i"][k].equals(batch["j"][k]) else ("left", "right"))]
-                yield links(np.concatenate([x.field("node").to_numpy() for x in sides]), [v for x in sides for v in x.field("small").to_numpy(zero_copy_only=False)])
+            for left, right in zip(batch["left"].to_pylist(), batch["right"].to_pylist(), strict=True):
+                sides = [read(uri) for uri in ((left,) if left == right else (left, right))]
+                yield links(np.concatenate([x["node"].to_numpy() for x in sides]), [np.asarray(v) for x in sides for v in x["small"].to_pylist()])
 
     near = some.select("token", "node", "small").mapInArrow(in_small, "a long, b long").union(tile_pairs(cut, ["token"], ["node", "small"]).mapInArrow(in_tiles, "a long, b long"))
     links_of_all = written(near.distinct(), "small-links")
@@ -262,9 +263,12 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
     Documents link if their shingle sets' Jaccard similarity is at least ``similarity`` and, where both sets
     have over SMALL shingles, their fingerprints are within ``radius``; equal sets always link, so all null and wordless texts are one group. Null
-    ids come last; of rows with equal ids the first written one stays. All columns stay."""
+    ids come last; of rows with equal ids the first written one stays. All columns stay, whatever their names;
+    an empty table stays empty."""
     spark = docs.sparkSession
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    names, inner = docs.columns, [f"c{k}" for k in range(len(docs.columns))]
+    id_column, text_column = inner[names.index(id_column)], inner[names.index(text_column)]
+    rows = written(docs.toDF(*inner).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     kind = pa.struct([("fp", pa.binary()), ("size", pa.int64()), ("small", pa.list_(pa.int64()))])
     largest = int(SMALL / similarity + 1e-9)  # what a small set can be similar to
 
@@ -288,4 +292,4 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     group = reps.join(roots, F.col("node") == F.col("member"), "left").select(F.col("fp").alias("gfp"), F.col("size").alias("gsize"), F.coalesce("root", "node").alias("group"))
     members = fps.join(group, (F.col("fp") == F.col("gfp")) & (F.col("size") == F.col("gsize")))
     stays = members.groupBy("group").agg(F.min(F.struct("doc", "row")).alias("first")).select(F.col("first.row").alias("_row"))
-    return rows.join(stays, "_row", "left_semi").drop("_row")
+    return rows.join(stays, "_row", "left_semi").drop("_row").toDF(*names)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.graph import BLOCK, TILE, components, forest, group_bounds, in_groups, small_and_tiled, tile_pairs
+from loomcast.llm.graph import BLOCK, TILE, TileReader, components, forest, group_bounds, in_groups, small_and_tiled, tile_pairs
 from loomcast.llm.shared import append_column, partitions, text_of, written
 
 SEED = 42
@@ -126,7 +126,7 @@ def near_fingerprints(fps: DataFrame, radius: int = 3) -> DataFrame:
     def in_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in in_groups(batches, 2):
             fp = table["fp"].to_numpy()
-            unsigned = fp.view("u8")
+            unsigned, pop = fp.view("u8"), table["pop"].to_numpy()
             bounds = group_bounds(table, 2)
             sizes = np.diff(bounds)
             # Groups of up to 32 rows all at once, each row against the next, the next but one, ...
@@ -134,7 +134,7 @@ def near_fingerprints(fps: DataFrame, radius: int = 3) -> DataFrame:
             few = np.flatnonzero((sizes <= 32)[group])
             for step in range(1, min(32, sizes.max())):
                 i = few[few + step < len(fp)]
-                i = i[group[i] == group[i + step]]
+                i = i[(group[i] == group[i + step]) & (pop[i + step] - pop[i] <= radius)]  # rows of a group are in order of pop
                 i = i[np.bitwise_count(unsigned[i] ^ unsigned[i + step]) <= radius]
                 if len(i):
                     yield _edges(fp, i, i + step)
@@ -145,17 +145,18 @@ def near_fingerprints(fps: DataFrame, radius: int = 3) -> DataFrame:
                     yield _edges(fp[some], i, j)
 
     def in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = TileReader()
         for batch in batches:
-            for row in range(len(batch)):
-                a, b = (np.array(batch[c][row].values.field("fp")) for c in ("left", "right"))
-                same = batch["i"][row].equals(batch["j"][row])
-                i, j = tile_forest(a.view("u8")[:, None], None if same else b.view("u8")[:, None], radius)
+            for left, right in zip(batch["left"].to_pylist(), batch["right"].to_pylist(), strict=True):
+                a, b = (read(uri)["fp"].to_numpy() for uri in (left, right))
+                i, j = tile_forest(a.view("u8")[:, None], None if left == right else b.view("u8")[:, None], radius)
                 if len(i):
                     yield _edges(np.r_[a, b], i, j)
 
     # Popcounts within the radius only: a tile holds one population count.
     far = tile_pairs(cut, ["part", "value"], ["fp"], near=("pop", radius)).mapInArrow(in_tiles, "a long, b long")
-    return small.select("part", "value", "fp").mapInArrow(in_small, "a long, b long").union(far)
+    small = small.sortWithinPartitions("part", "value", "pop")
+    return small.select("part", "value", "fp", "pop").mapInArrow(in_small, "a long, b long").union(far)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
