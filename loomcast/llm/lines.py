@@ -42,28 +42,44 @@ def with_words(lines: DataFrame) -> DataFrame:
 
 def with_hashes(lines: DataFrame, shingle: int) -> DataFrame:
     """``lines`` with ``hashes``, the hashes of the shingles of ``words``; repeats included. No word, no hash."""
-    # Whole-array functions line up the words of each shingle in a column of their own, which is compiled; the lambda only hashes.
-    n = F.greatest(F.size("words") - (shingle - 1), F.lit(0))
-    zipped = lines.withColumn("runs", F.arrays_zip(*[F.slice("words", k + 1, n) for k in range(shingle)]))
-    whole = F.array(F.xxhash64(F.concat_ws(" ", "words")))
-    runs = F.transform("runs", lambda words: F.xxhash64(words))
-    hashes = F.when(F.size("runs") > 1, runs).when(F.size("words") > 0, whole).otherwise(F.array().cast("array<bigint>"))
-    return zipped.withColumn("hashes", hashes).drop("words", "runs")
+    # Each word is hashed once; a shingle's hash is that of its words' hashes.
+    n = F.greatest(F.size("coded") - (shingle - 1), F.lit(0))
+    starts = F.slice("coded", F.lit(1), n)
+    runs = F.transform(starts, lambda first, i: F.xxhash64(first, *[F.get("coded", i + k) for k in range(1, shingle)]))
+    whole = F.array(F.xxhash64("coded"))
+    hashes = F.when(n > 1, runs).when(F.size("coded") > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    return _coded(lines).withColumn("hashes", hashes).drop("coded")
 
 
-def rarity_ranks(docs: DataFrame, shingle: int, text_column: str = "text") -> bytes:
-    """A rank from 0 to 127 for each cell, by the number of shingles of all lines in it."""
+def _coded(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``coded``, the hashes of ``words``, in their place."""
+    return lines.withColumn("coded", F.transform("words", lambda word: F.xxhash64(word))).drop("words")
+
+
+def rarity_counts(docs: DataFrame, shingle: int, text_column: str = "text") -> dict[int, int]:
+    """The number of shingles of all lines in each cell."""
     lines = docs.select(F.explode_outer(F.split(F.coalesce(text_column, F.lit("")), "\n")).alias("line"))
     # One row a shingle, hashed by compiled code; the hashes are those of with_hashes. The arrays have at
     # least one element; the outer form spares the filters that Spark infers, for which it splits again.
-    starts = with_words(lines).select("words", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("words") - shingle, F.lit(0)))).alias("i"))
-    h = F.when(F.size("words") > shingle, F.xxhash64(*[F.get("words", F.col("i") + n) for n in range(shingle)])).when(F.size("words") > 0, F.xxhash64(F.concat_ws(" ", "words")))
+    starts = _coded(with_words(lines)).select("coded", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("coded") - shingle, F.lit(0)))).alias("i"))
+    h = F.when(F.size("coded") > shingle, F.xxhash64(*[F.get("coded", F.col("i") + n) for n in range(shingle)])).when(F.size("coded") > 0, F.xxhash64("coded"))
     cells = starts.groupBy(h.bitwiseAND(CELLS - 1).alias("cell")).count().where("cell is not null")
-    found = {r["cell"]: r["count"] for r in cells.collect()}  # CELLS rows at most
+    return {r["cell"]: r["count"] for r in cells.collect()}  # CELLS rows at most
+
+
+def rarity_ranks(found: dict[int, int]) -> bytes:
+    """A rank from 0 to 127 for each cell, by its count."""
     most = math.log1p(max(found.values(), default=1))
     return bytes(int(127 * math.log1p(found.get(k, 0)) / most) for k in range(CELLS))
 
 
+def hot_cells(found: dict[int, int], times: int = 4) -> list[int]:
+    """Cells with over ``times`` the mean count, which are CELLS / ``times`` at most. A token of any other
+    cell has at most that share of all shingles."""
+    limit = times * sum(found.values()) / CELLS
+    return sorted(k for k, n in found.items() if n > limit)
+
+
 def _by_rarity(ranks: bytes) -> Column:
     """The token set of ``hashes`` as an array of longs from rare to frequent."""
     table = F.split(F.lit(",".join(str(r << HASH_BITS) for r in ranks)), ",").cast("array<bigint>")  # folded to one literal
@@ -88,6 +104,29 @@ def _numbered(docs: DataFrame, id_column: str) -> DataFrame:
     return written(docs.withColumn("loom_row", F.monotonically_increasing_id()), "numbered")
 
 
+def _n_and_pos(npos: str) -> tuple[Column, Column]:
+    return F.shiftright(npos, 32).cast("int"), F.col(npos).bitwiseAND((1 << 32) - 1).cast("int")
+
+
+def _shared(postings: DataFrame, hot: list[int]) -> DataFrame:
+    """token, doc, place, n, pos of the postings of tokens with two or more, and ``first``, the token's first posting.
+
+    Tokens of hot cells are aggregated before they are shuffled, and joined, which Spark splits where
+    they are many. All others are sorted by token."""
+    is_hot = F.col("token").bitwiseAND(CELLS - 1).isin(hot) if hot else F.lit(False)
+    at = F.struct("doc", "place", "npos")
+    same = Window.partitionBy("token").orderBy("doc", "place", "npos")
+    found = postings.where(~is_hot).withColumn("first", F.first(at).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = found.withColumn("before", F.lag("token").over(same)).withColumn("after", F.lead("token").over(same))
+    found = found.where("before is not null or after is not null").drop("before", "after")
+    if hot:
+        firsts = postings.where(is_hot).groupBy("token").agg(F.min(at).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
+        found = found.union(postings.where(is_hot).join(written(firsts, "first-postings"), "token"))
+    (n, pos), (first_n, first_pos) = _n_and_pos("npos"), _n_and_pos("first.npos")
+    first = F.struct(F.col("first.place").alias("place"), first_n.alias("n"), first_pos.alias("pos"))
+    return found.select("token", "doc", "place", n.alias("n"), pos.alias("pos"), first.alias("first"))
+
+
 def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (sorted line numbers from 0) of each row.
 
@@ -103,7 +142,8 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
 def _removed(rows: DataFrame, threshold: float, shingle: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """row, doc_id, n_lines, n_removed, removed of each row of ``rows``, which have numbers."""
     spark = rows.sparkSession
-    ranks = rarity_ranks(rows, shingle, text_column)
+    counts = rarity_counts(rows, shingle, text_column)
+    ranks = rarity_ranks(counts)
     # A null id sorts last.
     docs = rows.select(F.col("loom_row").alias("row"), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     base = docs.select("row", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
@@ -126,16 +166,7 @@ def _removed(rows: DataFrame, threshold: float, shingle: int, id_column: str = "
 
     postings = sets.select("doc", "place", "n", F.posexplode("prefix").alias("pos", "token"))
     postings = postings.select("token", "doc", "place", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("npos"))
-    same = Window.partitionBy("token").orderBy("doc", "place", "npos")
-    at = F.struct("doc", "place", "npos")
-    shared = postings.withColumn("first", F.first(at).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("before", F.lag("token").over(same)).withColumn("after", F.lead("token").over(same)).where("before is not null or after is not null")
-
-    def n_and_pos(npos: str) -> tuple[Column, Column]:
-        return F.shiftright(npos, 32).cast("int"), F.col(npos).bitwiseAND((1 << 32) - 1).cast("int")
-
-    (n, pos), (first_n, first_pos) = n_and_pos("npos"), n_and_pos("first.npos")
-    first = F.struct(F.col("first.place").alias("place"), first_n.alias("n"), first_pos.alias("pos"))
-    shared = written(shared.select("token", "doc", "place", n.alias("n"), pos.alias("pos"), first.alias("first")), "shared-postings")
+    shared = written(_shared(postings, hot_cells(counts)), "shared-postings")
     discard(spark)
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -177,18 +208,23 @@ def _removed(rows: DataFrame, threshold: float, shingle: int, id_column: str = "
     discard(spark, first_gone, shared, involved, whole)
 
     verdict = sets.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("place").alias("fplace")).join(gone, F.col("fplace") == F.col("gplace"), "left").select("s1", "s2", "fplace", F.col("gplace").isNotNull().alias("goes"))
-    judged = lines.join(verdict, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left")
-    goes = F.coalesce(F.col("goes") | (F.col("place") != F.col("fplace")), F.lit(False))
-    gone_at = F.sort_array(F.collect_set(F.when(goes, F.col("line_no"))))
-    return judged.groupBy("row", "doc_id").agg((F.max("line_no") + 1).cast("long").alias("n_lines"), F.size(gone_at).cast("long").alias("n_removed"), gone_at.alias("removed"))
+    judged = lines.join(verdict, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")))
+    goes = judged.where(F.col("goes") | (F.col("place") != F.col("fplace")))
+    removed = goes.groupBy(F.col("row").alias("gone_row")).agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    counted = lines.groupBy("row", "doc_id").agg((F.max("line_no") + 1).cast("long").alias("n_lines"))
+    gone_at = F.coalesce("removed", F.array().cast("array<int>"))
+    return counted.join(removed, F.col("row") == F.col("gone_row"), "left").select("row", "doc_id", "n_lines", F.size(gone_at).cast("long").alias("n_removed"), gone_at.alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text", changed: str | None = None) -> DataFrame:
     """``docs`` with its removed lines cut out of the texts. Texts that lose nothing, null ones too, stay
-    as they are; all columns and rows stay. ``changed`` names a column to add: whether a text lost lines."""
-    rows = _numbered(docs, id_column)
-    gone = _removed(rows, threshold, shingle, id_column, text_column).where("n_removed > 0").select(F.col("row").alias("_gone_row"), F.col("removed").alias("_gone"))
-    kept = F.array_join(F.filter(F.transform(F.split(text_column, "\n"), lambda line, k: F.when(~F.array_contains("_gone", k), line)), lambda line: line.isNotNull()), "\n")
-    both = rows.join(gone, F.col("loom_row") == F.col("_gone_row"), "left")
-    more = [F.col("_gone").isNotNull().alias(changed)] if changed else []
-    return both.select(*[(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_column else F.col(c)) for c in docs.columns], *more)
+    as they are; all columns, whatever their names, and all rows stay, and an empty table stays empty.
+    ``changed`` names a column to add: whether a text lost lines."""
+    inner = [f"c{k}" for k in range(len(docs.columns))]
+    key, text = inner[docs.columns.index(id_column)], inner[docs.columns.index(text_column)]
+    rows = _numbered(docs.toDF(*inner), key)
+    gone = _removed(rows, threshold, shingle, key, text).where("n_removed > 0").select(F.col("row").alias("gone_row"), F.col("removed").alias("gone"))
+    kept = F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda line, k: F.when(~F.array_contains("gone", k), line)), lambda line: line.isNotNull()), "\n")
+    both = rows.join(gone, F.col("loom_row") == F.col("gone_row"), "left")
+    out = both.select(*[F.when(F.col("gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in inner], F.col("gone").isNotNull().alias("changed"))
+    return out.toDF(*docs.columns, changed) if changed else out.drop("changed").toDF(*docs.columns)
