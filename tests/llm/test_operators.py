@@ -83,12 +83,30 @@ def test_bpe(spark):
     with open(MULTI_BPE, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    found = bpe.decode(bpe.encode(table(spark, rows), MULTI_BPE, P.PATTERN), MULTI_BPE, P.PATTERN)
-    assert found.columns == ["doc_id", "text", "lang", "a.b", "ids", "decoded"]
-    for r in found.collect():
+    found = bpe.decode(bpe.encode(table(spark, rows), MULTI_BPE, P.PATTERN), MULTI_BPE)
+    both = bpe.round_trip(table(spark, rows), MULTI_BPE, P.PATTERN)
+    assert found.columns == both.columns == ["doc_id", "text", "lang", "a.b", "ids", "decoded"]
+    assert not bpe.round_trip(table(spark, rows).where("false"), MULTI_BPE, P.PATTERN).collect()
+    for r in [*found.collect(), *both.collect()]:
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_bpe_of_long_words():
+    import tiktoken
+
+    coder, rng = bpe.Encoder(MULTI_BPE, P.PATTERN), random.Random(8)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    for letters in ("a", "ab", "acgt", "éèàß", "中文字漢語日本", "etaoinshrdlu"):
+        for n in (257, 500, 3000):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            assert np.frombuffer(coder.encode_words([word])[0], "<u4").tolist() == library.encode_ordinary(word)
+    word = "ab" * 50_000
+    assert np.frombuffer(coder.encode_words([word])[0], "<u4").tolist() == library.encode_ordinary(word)
+    # A vocabulary may not hold to what pieces rely on; the queries themselves are bounded anyhow.
+    word = ("the" * 700).encode()
+    assert np.frombuffer(coder._contract([word])[0], "<u4").tolist() == library.encode_ordinary(word.decode())
+
+
 def test_records(spark):
     from tokenizers import Tokenizer
 
@@ -103,7 +121,14 @@ def test_records(spark):
     for r in found:
         if r.doc_id not in (None, 1):
             assert np.frombuffer(r.ids, "<u4").tolist() == [*t.encode(rows[r.doc_id] or "", add_special_tokens=False).ids, 2]
-    assert not records.read_records(records.write_records(table(spark, rows).where("false"), WORD_BPE)).collect()
+    shuffled = records.read_shuffled(manifest, seed=3, records_at_once=2).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in shuffled) == sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in found)
+    by_shard = collections.defaultdict(list)
+    for r in shuffled:
+        by_shard[r.shard].append(r.record)
+    assert all(sorted(x) == list(range(len(x))) for x in by_shard.values()) and any(x != sorted(x) for x in by_shard.values())
+    empty = records.write_records(table(spark, rows).where("false"), WORD_BPE)
+    assert not records.read_records(empty).collect() and not records.read_shuffled(empty).collect()
 
 
 def test_record_checksums():
@@ -124,6 +149,40 @@ def test_mpeg(spark):
     media = mpeg.encode(b"\xff\xfa" * 4000 + bytes(64))
     hurt = mpeg.decode(media[:900] + b"???" + media[900:])
     assert hurt.damaged and not hurt.whole and 0 < hurt.frames
+    assert mpeg.decode(media).whole and not mpeg.decode(b"").whole
+
+
+def test_mpeg_damage_is_never_an_error():
+    media, rng = mpeg.encode(mpeg.padded(b"some text" * 300)), random.Random(1)
+    for _ in range(300):
+        raw = bytearray(media)
+        for _ in range(rng.randint(1, 6)):
+            raw[rng.randrange(len(raw))] = rng.randrange(256)
+        del raw[rng.randrange(len(raw)) :: rng.choice([10_000, 700])]
+        mpeg.decode(bytes(raw))
+        mpeg.decode(bytes(raw[: rng.randrange(len(raw))]))
+    for value in (b"payload=\xb2;crc32=zz", b"payload=;crc32=", b"payload=9999999999999999999999"):
+        body = b"\0" + mpeg.TAG_NAME + b"\0" + value
+        tag = b"TXXX" + len(body).to_bytes(4, "big") + bytes(2) + body
+        assert mpeg.decode(b"ID3\x03\0\0" + mpeg.synchsafe(len(tag)) + tag).tag_crc32 is None
+
+
+def test_mpeg_tags_and_tables():
+    def tag(version, flags, *frames):
+        size = mpeg.synchsafe if version == 4 else lambda n: n.to_bytes(4, "big")
+        body = b"".join(k + size(len(b)) + bytes(2) + b for k, b in frames) + bytes(20)
+        return b"ID3" + bytes((version, 0, flags)) + mpeg.synchsafe(len(body)) + body
+
+    for version in (3, 4):
+        raw = tag(version, 0, (b"TIT2", b"\0title"), (b"APIC", b"x" * 200), (b"TXXX", b"\0" + mpeg.TAG_NAME + b"\0payload=5;crc32=0000000a"))
+        length, frames, whole = mpeg.tag_frames(raw)
+        assert (length, whole, [k for k, _ in frames]) == (len(raw), True, [b"TIT2", b"APIC", b"TXXX"]) and mpeg.own_tag(frames) == (5, 10)
+    assert mpeg.tag_frames(tag(3, 0, (b"TIT2", b"x"))[:14])[2] is False
+    side = 17
+    assert mpeg.rate_table(bytes(side) + b"Info" + (3).to_bytes(4, "big") + (7).to_bytes(4, "big") + (900).to_bytes(4, "big"), side) == (7, 900)
+    assert mpeg.rate_table(bytes(side) + b"Xing" + (2).to_bytes(4, "big") + (900).to_bytes(4, "big"), side) == (None, 900)
+    assert mpeg.rate_table(bytes(side) + b"Xing" + (1).to_bytes(4, "big"), side) is None
+    assert mpeg.rate_table(bytes(32) + b"VBRI" + bytes(6) + (900).to_bytes(4, "big") + (7).to_bytes(4, "big") + bytes(4), side) == (7, 900)
 
 
 def test_warc(spark):
