@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcast.llm import bpe, embeddings, langid, lines, mpeg, packing, records, simhash, substrings, warc
+from loomcast.llm import bpe, embeddings, langid, lines, mpeg, oracles, packing, records, simhash, substrings, warc
 from loomcast.llm.shared import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,7 +29,8 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each document that an earlier line is at least 0.8 similar to."""
-    return lines.removed_lines(table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+    found = lines.removed_lines(table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+    return found.withColumn("removed", F.concat_ws(",", F.col("removed").cast("array<string>")))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +89,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Statements for what SQL can state; tests/llm compares the other queries with other implementations."""
+    return {"op2_embeddings": oracles.EMBEDDINGS, "op3_lines": oracles.LINES, "op5_substrings": oracles.SUBSTRINGS, "op6_warc": oracles.WARC}
