@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from loomcast.llm.shared import open_fs, partitions, put_file, shared_folder, written
+from loomcast.llm.shared import discard, open_fs, partitions, put_file, shared_folder, written
 
 #: Rows of a group that one task compares; larger groups are cut into tiles of about this size.
 TILE = 2048
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).select("a", "b", "m")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        now = written(small.distinct(), "edges")
+        old, now = now, written(small.distinct(), "edges")
+        discard(now.sparkSession, old, collect=False)
         state = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
         if state == before:
             break

@@ -95,7 +95,7 @@ def _least_shared(n: Column, m: Column, threshold: float) -> Column:
     return F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
 
 
-def _numbered(docs: DataFrame, id_column: str) -> DataFrame:
+def numbered(docs: DataFrame, id_column: str) -> DataFrame:
     """``docs`` with ``loom_row``, a number of each row: its id where all rows have ids of their own, or else
     one that is written once with the rows, so that it stays."""
     ids = F.col(id_column).cast("long").alias("loom_row")
@@ -133,7 +133,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_
     Lines end at newlines. Lines without a word are never removed and null texts are one such line. A
     null id comes after all others. Rows that repeat an id, or have none, are documents of their own, in
     any order among themselves. An empty table gives no rows; other columns take no part."""
-    rows = _numbered(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "doc_id")
+    rows = numbered(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "doc_id")
     found = _removed(rows, threshold, shingle).drop("row")
     discard(docs.sparkSession, *([rows] if "loom_folder" in vars(rows) else []))
     return found
@@ -160,14 +160,15 @@ def _removed(rows: DataFrame, threshold: float, shingle: int, id_column: str = "
     sets = lines.where("n > 0").groupBy("k1", "k2", "n", "prefix").agg(F.min(F.col("doc").cast("decimal(38,0)") * step + F.col("place")).alias("at"))
     place = f"pmod(at, {1 << 62}BD)"
     sets = written(sets.select("k1", "k2", "n", "prefix", F.expr(f"(at - {place}) div {1 << 62}BD").alias("doc"), F.expr(f"cast({place} as long)").alias("place")), "line-sets")
-    # Of the lines only the sets they belong to are needed from here on.
+    # Of the lines only the sets they belong to are needed from here on, and of the sets, once postings are made, their keys.
     wide, lines = lines, written(lines.select("row", "doc_id", "line_no", "place", "k1", "k2"), "lines-of-sets")
     discard(spark, wide)
+    keys = written(sets.select("k1", "k2", "place"), "set-keys")
 
     postings = sets.select("doc", "place", "n", F.posexplode("prefix").alias("pos", "token"))
     postings = postings.select("token", "doc", "place", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("npos"))
     shared = written(_shared(postings, hot_cells(counts)), "shared-postings")
-    discard(spark)
+    discard(spark, sets)
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs x, y (y earlier) that pass the length and positional filters, once each."""
@@ -207,13 +208,16 @@ def _removed(rows: DataFrame, threshold: float, shingle: int, id_column: str = "
     first_gone, gone = gone, written(gone.union(verified(likely(to_all))).distinct().select(F.col("place").alias("gplace")), "gone")
     discard(spark, first_gone, shared, involved, whole)
 
-    verdict = sets.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("place").alias("fplace")).join(gone, F.col("fplace") == F.col("gplace"), "left").select("s1", "s2", "fplace", F.col("gplace").isNotNull().alias("goes"))
+    verdict = keys.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("place").alias("fplace")).join(gone, F.col("fplace") == F.col("gplace"), "left").select("s1", "s2", "fplace", F.col("gplace").isNotNull().alias("goes"))
     judged = lines.join(verdict, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")))
     goes = judged.where(F.col("goes") | (F.col("place") != F.col("fplace")))
     removed = goes.groupBy(F.col("row").alias("gone_row")).agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     counted = lines.groupBy("row", "doc_id").agg((F.max("line_no") + 1).cast("long").alias("n_lines"))
     gone_at = F.coalesce("removed", F.array().cast("array<int>"))
-    return counted.join(removed, F.col("row") == F.col("gone_row"), "left").select("row", "doc_id", "n_lines", F.size(gone_at).cast("long").alias("n_removed"), gone_at.alias("removed"))
+    found = counted.join(removed, F.col("row") == F.col("gone_row"), "left")
+    found = written(found.select("row", "doc_id", "n_lines", F.size(gone_at).cast("long").alias("n_removed"), gone_at.alias("removed")), "removed-lines")
+    discard(spark, lines, keys, gone)
+    return found
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text", changed: str | None = None) -> DataFrame:
@@ -222,7 +226,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_co
     ``changed`` names a column to add: whether a text lost lines."""
     inner = [f"c{k}" for k in range(len(docs.columns))]
     key, text = inner[docs.columns.index(id_column)], inner[docs.columns.index(text_column)]
-    rows = _numbered(docs.toDF(*inner), key)
+    rows = numbered(docs.toDF(*inner), key)
     gone = _removed(rows, threshold, shingle, key, text).where("n_removed > 0").select(F.col("row").alias("gone_row"), F.col("removed").alias("gone"))
     kept = F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda line, k: F.when(~F.array_contains("gone", k), line)), lambda line: line.isNotNull()), "\n")
     both = rows.join(gone, F.col("loom_row") == F.col("gone_row"), "left")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcast.llm.graph import TileReader, components, forest, group_bounds, in_groups, small_and_tiled, stored_tiles, tile_pairs
+from loomcast.llm.lines import numbered
 from loomcast.llm.shared import append_column, discard, open_fs, partitions, put_file, shared_folder, text_of, written
 from loomcast.llm.simhash import mixed, near_pairs, shingle_hashes
 
@@ -263,12 +264,12 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
     Documents link if their shingle sets' Jaccard similarity is at least ``similarity`` and, where both sets
     have over SMALL shingles, their fingerprints are within ``radius``; equal sets always link, so all null and wordless texts are one group. Null
-    ids come last; of rows with equal ids the first written one stays. All columns stay, whatever their names;
+    ids come last; of rows with equal ids one stays. All columns stay, whatever their names;
     an empty table stays empty."""
     spark = docs.sparkSession
     names, inner = docs.columns, [f"c{k}" for k in range(len(docs.columns))]
     id_column, text_column = inner[names.index(id_column)], inner[names.index(text_column)]
-    rows = written(docs.toDF(*inner).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered(docs.toDF(*inner), id_column).withColumnRenamed("loom_row", "_row")
     kind = pa.struct([("fp", pa.binary()), ("size", pa.int64()), ("small", pa.list_(pa.int64()))])
     largest = int(SMALL / similarity + 1e-9)  # what a small set can be similar to
 
@@ -291,5 +292,6 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     roots = components(verified.union(small)).withColumnRenamed("node", "member")
     group = reps.join(roots, F.col("node") == F.col("member"), "left").select(F.col("fp").alias("gfp"), F.col("size").alias("gsize"), F.coalesce("root", "node").alias("group"))
     members = fps.join(group, (F.col("fp") == F.col("gfp")) & (F.col("size") == F.col("gsize")))
-    stays = members.groupBy("group").agg(F.min(F.struct("doc", "row")).alias("first")).select(F.col("first.row").alias("_row"))
+    stays = written(members.groupBy("group").agg(F.min(F.struct("doc", "row")).alias("first")).select(F.col("first.row").alias("_row")), "staying-documents")
+    discard(spark, verified, small, fps, reps)
     return rows.join(stays, "_row", "left_semi").drop("_row").toDF(*names)

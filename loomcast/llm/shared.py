@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The URI in ``spark.checkpoint.dir``; a temporary folder of our own only where that is unset."""
+    """The URI in ``spark.checkpoint.dir``; a temporary folder of our own only where that is unset and all runs in
+    one process. On a cluster it must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomcast-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
@@ -39,18 +42,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
-#: Folders that this process has named, in order; a pipeline gives back those of stages that are over.
+#: Folders that this process has named and not discarded, in order.
 FOLDERS: list[str] = []
 
 
-def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
-    """Delete tables that ``written`` made (or folders) and that nothing reads any more, and let Spark free
-    the shuffle files of jobs that are over."""
+def discard(spark: SparkSession, *tables: DataFrame | str, collect: bool = True) -> None:
+    """Delete tables that ``written`` made (or folders) and that nothing reads any more, and, with ``collect``, let
+    Spark free the shuffle files of jobs that are over."""
     for t in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.loom_folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+        if str(t if isinstance(t, str) else t.loom_folder) in FOLDERS:
+            FOLDERS.remove(t if isinstance(t, str) else t.loom_folder)
+    if collect:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def open_fs(uri: str):
