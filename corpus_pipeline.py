@@ -7,10 +7,8 @@ next one's documents, so a lost executor never goes back more than one stage.
 
 from __future__ import annotations
 
-import functools
-
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcast.llm import langid, lines, near_documents, packing, substrings
@@ -20,74 +18,83 @@ from loomcast.llm.shared import FOLDERS, discard, table, written
 ORACLE_SQL = None
 
 
-#: Folders of stages that have returned their rows.
-_over: list[str] = []
-
-
-def _stage(f):
-    """A stage that first deletes what earlier stages left in the shared folder, unless ``docs`` still reads it:
-    stages are written and read again, so nothing else needs it."""
-
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _over else []
-        idle = [d for d in _over if not any(d.rpartition("/")[2] in file for file in read)]
-        discard(spark, *idle)
-        _over[:] = [d for d in _over if d not in idle]
-        before = len(FOLDERS)
-        out = f(spark, docs, sf_dir)
-        _over.extend(FOLDERS[before:])
-        return out
-
-    return run_stage
-
+def _with_text(found: DataFrame, columns: list[str], text: Column, changed: Column) -> DataFrame:
+    """``columns`` of ``found``, with the new text and, where it is ``changed``, its length."""
+    new = {"text": text, "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("`n_chars`"))}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns])
 
-def _same_columns(found: DataFrame, docs: DataFrame, text) -> DataFrame:
-    """The columns of ``docs``, with the new text and its length."""
-    return found.select(*[text.alias("text") if c == "text" else F.when(F.col("text").eqNullSafe(text), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
-
-@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is learnable from the labelled ones; texts without a letter and texts
-    between two languages go."""
-    model = langid.train(docs)
-    found = langid.identify(docs, model, out="loom_language")
-    return found.where("loom_language.lang_pred <> 'und' and not loom_language.ambiguous").select(*docs.columns)
+    between two languages go.
+
+    Null and empty texts go, whatever their other columns; null labels and ids only teach nothing. Ties
+    between languages count as ambiguous. Repeated rows are judged alike, each for itself. Without any
+    labelled text, and of an empty table, nothing stays. Other columns stay, whatever their names."""
+    verdict = "loom_language_of_text"
+    found = langid.identify(docs, langid.train(docs), out=verdict)
+    kept = found.where((F.col(verdict)["lang_pred"] != langid.UNDETERMINED) & ~F.col(verdict)["ambiguous"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that an earlier line is at least 0.8 similar to."""
-    kept = lines.dedup_lines(docs, threshold=0.8, shingle=5, changed="loom_changed")
-    return kept.select(*[F.when(F.col("loom_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Texts without lines that an earlier line is at least 0.8 similar to, by doc_id, then row, then place.
+
+    Null and empty texts and lines without a word stay. Null ids come last; of rows that repeat an id, or
+    have none, any order among themselves holds. Of equal lines the first stays. An empty table stays
+    empty. Other columns stay, whatever their names."""
+    kept = lines.dedup_lines(docs, threshold=0.8, shingle=5, changed="loom_lines_went")
+    return _with_text(kept, docs.columns, F.col("text"), F.col("loom_lines_went"))
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: 5-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: 5-word shingles, similarity 0.8 or more.
+
+    The smallest doc_id stays, null ids last; of rows with that same id one. All null, empty and wordless
+    texts are one group. An empty table stays empty. Other columns stay, whatever their names."""
     return near_documents.distinct_documents(docs, width=5, similarity=0.8)
 
 
-@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 35 words or more that are anywhere else too; others stay as they are."""
-    found = substrings.remove_repeats(docs, window=35)
-    return _same_columns(found, docs, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    """Texts without passages of 35 words or more that are anywhere else too; others stay as they are.
+
+    Null, empty and shorter texts stay. All copies of a passage go, also those in repeated rows or in one
+    text. Ids take no part. An empty table stays empty. Other columns stay; those that are named like the
+    operator's results (n_words, n_removed, removed, kept) are carried beside them."""
+    inner = [f"c{k}" for k in range(len(docs.columns))]
+    text = inner[docs.columns.index("text")]
+    found = substrings.remove_repeats(docs.toDF(*inner), window=35, text_column=text)
+    changed = F.col("n_removed") > 0
+    new = F.when(changed, F.col("kept")).otherwise(F.col(text))
+    back = found.select(*inner, new.alias("new_text"), changed.alias("changed"))
+    return _with_text(back.toDF(*docs.columns, "loom_new_text", "loom_changed"), docs.columns, F.col("loom_new_text"), F.col("loom_changed"))
 
 
-@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens, with their ids."""
+    """The pieces of all documents in sequences of at most 2048 tokens, with their ids.
+
+    Null and empty texts have the end id alone; null ids and repeated rows are packed like others; other
+    columns are left out; an empty table gives no rows."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), context=2048, end_id=1)
 
 
-STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("pack", pack)]
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("pack", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pipeline over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """The pipeline over the documents of ``sf_dir``. Once a stage is written, what it left in the shared folder and
+    what it read, an earlier stage's rows, are deleted; its own rows stay until the next stage is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        begun = set(FOLDERS)
         docs = written(stage(spark, docs, sf_dir), name)
+        left = [f for f in FOLDERS if f not in begun and f != docs.loom_folder]
+        discard(spark, *left, *before)
+        before = [docs.loom_folder]
     return STAGES[-1][1](spark, docs, sf_dir)
