@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.graph import BLOCK, TILE, TileReader, components, forest, group_bounds, in_groups, small_and_tiled, tile_pairs
+from loomcast.llm.graph import BLOCK, TILE, TileReader, components, forest, group_bounds, in_groups, small_and_tiled, tile_pairs, with_classes
 from loomcast.llm.shared import written
 
 FOUND = "node long, other long, weight long"
@@ -180,7 +180,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 5
     of_class = classes.select("label", "key", "node", "rep", "n").join(weights, "node", "left").join(roots, F.col("node") == F.col("member"), "left")
     of_class = of_class.withColumn("root", F.coalesce("root", "node"))
     least = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = of_class.join(least, "root").select(F.col("label").alias("l"), F.col("key").alias("k"), (F.col("n") - 1 + F.coalesce("weight", F.lit(0))).alias("links"), "component_id")
-    out = rows.select("vec_id", "label", "key").join(of_class, (F.col("label") == F.col("l")) & (F.col("key") == F.col("k")), "left")
-    component = F.when(F.col("k").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    of_class = of_class.join(least, "root").select("label", "key", "n", (F.col("n") - 1 + F.coalesce("weight", F.lit(0))).alias("links"), "component_id")
+    mine = rows.select("vec_id", "label", "key")
+    out = with_classes(mine.where("key IS NOT NULL"), written(of_class, "classes-of-vectors"), ["label", "key"]).select("vec_id", "links", "component_id")
+    alone = mine.where("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component_id"))
+    component = F.col("component_id")
+    return out.union(alone).select("vec_id", F.col("links").cast("long").alias("n_links"), component, F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -95,6 +95,16 @@ def small_and_tiled(rows: DataFrame, keys: list[str], tile: int, salt: str) -> t
     return small, cut
 
 
+def with_classes(rows: DataFrame, classes: DataFrame, keys: list[str], hot_share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of their class: ``classes`` has a row for each value of ``keys`` and ``n``, its number
+    of rows. Classes of over 1 / ``hot_share`` of all rows, of which there are fewer than ``hot_share``, are
+    broadcast, so no task gets all rows of one; the others meet by shuffle. Rows without a class go."""
+    limit = rows.count() / hot_share
+    hot, cold = classes.where(F.col("n") > limit).drop("n"), classes.where(F.col("n") <= limit).drop("n")
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(others.join(cold, keys))
+
+
 def stored_tiles(cut: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, str]:
     """``keys`` and uri of each tile (rows of ``cut`` with equal keys), whose ``columns`` are an Arrow file in
     the shared folder; and that folder. So pairs of tiles are pairs of names, however large the tiles are."""

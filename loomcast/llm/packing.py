@@ -131,6 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = 2048, end_id: int = 1,
                     packer.pack(last=False)
                     fresh = 0
                     yield from out()
+        encoder.forget()
         packer.pack(last=True)
         yield from out()
 

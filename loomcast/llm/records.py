@@ -204,6 +204,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str
                     n_ids += len(a)
                     if offsets[-1] >= shard_bytes:
                         yield flush()
+        encoder.forget()
         if shard:
             yield flush()
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.graph import BLOCK, TILE, TileReader, components, forest, group_bounds, in_groups, small_and_tiled, tile_pairs
+from loomcast.llm.graph import BLOCK, TILE, TileReader, components, forest, group_bounds, in_groups, small_and_tiled, tile_pairs, with_classes
 from loomcast.llm.shared import append_column, partitions, text_of, written
 
 SEED = 42
@@ -165,10 +165,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_column:
     Documents link if their fingerprints differ in at most ``radius`` bits; null and wordless texts have
     fingerprint 0 and link like others. Null ids are never a component's id unless it has no other."""
     rows = written(fingerprints(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), width).drop("text"), "fingerprints")
-    reps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    reps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = components(near_fingerprints(reps.select("fp"), radius))
     joined = roots.join(reps, F.col("node") == F.col("fp")).select("node", "root", "rep")
     least = joined.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("least"))
     linked = joined.join(least, F.col("root") == F.col("r")).select("node", "least")
-    ids = reps.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("least", "rep").alias("component_id"))
-    return rows.join(ids, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    classes = reps.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n")
+    return with_classes(rows, written(classes, "fingerprint-classes"), ["fp"]).select("doc_id", "fp", "component_id")

@@ -34,6 +34,7 @@ class LibraryEncoder:
         self.symbols = byte_symbols()
         self.space = self.symbols[ord(" ")]
         self.tokenize = self.tokenizer.model.tokenize
+        self.inner: dict[str, bytes] = {}
         pre = spec["pre_tokenizer"]
         self.normalized = spec["normalizer"] is not None
         if not self.normalized and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
@@ -42,7 +43,6 @@ class LibraryEncoder:
             import regex
 
             self.split = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"]).findall
-            self.inner: dict[str, bytes] = {}
             self.cache = WordCache(r"\S+", self._normalized, space="")
         else:
             raise ValueError(f"{path}: unknown pre-tokenizer")
@@ -69,6 +69,10 @@ class LibraryEncoder:
             ids = self.inner[p] = self._ids(p)
         return ids
 
+    def forget(self) -> None:
+        self.cache.forget()
+        self.inner.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [not any(a in t for a in self.added) for t in texts]
         found = iter(self.cache.encode([t for t, p in zip(texts, plain, strict=True) if p]))

@@ -64,6 +64,11 @@ class WordCache:
         self.heads = Pieces(lambda piece: self.piece(piece, "", self.heads))
         self.tails = Pieces(lambda piece: self.piece(piece, space, self.tails))  # keys without the space that they begin with
 
+    def forget(self) -> None:
+        """Empty all caches: workers outlive their tasks."""
+        for cache in (self.words, self.heads, self.tails):
+            cache.clear()
+
     def piece(self, piece: str, space: str, cache: Pieces) -> bytes:
         """The string of a piece, which is to be kept in ``cache``."""
         if plain(piece):
