@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.shared import text_of
+from loomcast.llm.shared import give_back, text_of
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -134,6 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = 2048, end_id: int = 1,
         encoder.forget()
         packer.pack(last=True)
         yield from out()
+        give_back()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, SCHEMA)
 

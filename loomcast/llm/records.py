@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcast.llm.shared import open_fs, partitions, put_file, shared_folder, text_of, written
+from loomcast.llm.shared import give_back, open_fs, partitions, put_file, shared_folder, text_of, written
 
 MANIFEST = "shard string, place long, part long, n_records long, n_ids long, n_bytes long, first_id long"
 HEADER = "<BqB"
@@ -207,6 +207,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str
         encoder.forget()
         if shard:
             yield flush()
+        give_back()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")

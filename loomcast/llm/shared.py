@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -59,6 +60,16 @@ def discard(spark: SparkSession, *tables: DataFrame | str, collect: bool = True)
         spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Hand the memory that a task has freed back to the system: workers outlive their tasks, and other stages'
+    workers need it. Does nothing where the C library has no such call."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI: local, HDFS, S3 or whatever pyarrow knows."""
     from pyarrow import fs
@@ -115,5 +126,6 @@ def append_column(df: DataFrame, given: Column, run, name: str, kind: str, step:
             for k in range(0, len(batch), step):
                 part = batch.slice(k, step)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], run(part.columns[-1].to_pylist())], names=[*part.schema.names[:-1], "made"])
+        give_back()
 
     return rows.mapInArrow(over, schema).toDF(*[c for _, c in kept], name)

@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from loomcast.llm.graph import group_bounds, in_groups
-from loomcast.llm.shared import open_fs, partitions, put_file, shared_folder, written
+from loomcast.llm.shared import give_back, open_fs, partitions, put_file, shared_folder, written
 
 CHUNK_WORDS = 500_000
 BYTES_AT_ONCE = 1 << 21
@@ -48,7 +48,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@functools.cache
+@functools.lru_cache(1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n - 1 of the word base and of its inverse modulo 2^64."""
     inverse = np.uint64(pow(int(WORD_BASE), -1, 1 << 64))
@@ -186,6 +186,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_column: str = "text",
                     chunk = Chunk(words, window, buckets)
                     some = np.flatnonzero(np.diff(chunk.bounds))
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), unit), pa.int64()), pa.array(np.full(len(some), number), pa.int64()), pa.array([squeezed(chunk.unique[a:b]) for a, b in zip(chunk.bounds[some], chunk.bounds[some + 1], strict=True)], pa.binary())], names=["bucket", "unit", "chunk", "hashes"])
+        give_back()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in in_groups(batches, 1):
@@ -257,6 +258,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_column: str = "text",
                         done += len(part)
                         columns = [*part.columns, *(pa.array(c, arrow.field(len(names) + k).type) for k, c in enumerate(zip(*some, strict=True)))]
                         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        give_back()
 
     with_answers = units.join(answered.select(F.col("unit").alias("answer")), F.col("unit") == F.col("answer"), "left").select("uri", "answer").repartition(n, "uri")
     out = with_answers.mapInArrow(remove, StructType(fields))

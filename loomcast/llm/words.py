@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable
 import regex
 
 #: Entries in the caches of one Python worker, about 200 bytes each: pieces up to this, words up to twice this.
-CACHE_LIMIT = 600_000
+CACHE_LIMIT = 500_000
 RARE_SPACE = re.compile("[\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
