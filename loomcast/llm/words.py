@@ -3,19 +3,20 @@
 A byte-level BPE never merges across the cuts of its split pattern, so the ids of a text are the
 ids of its pattern matches in order. Texts are first cut before single spaces, which C code does
 fast; such a cut is also a cut of the pattern unless white space stands on both sides of the
-space, and texts that have that go through the pattern as a whole. Every cache is dropped when it
-reaches its limit, so memory is bounded however many distinct words there are.
+space, and texts that have that go through the pattern as a whole. A cache that reaches its
+limit keeps only its first entries, so memory is bounded however many distinct words there are.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterable
 
 import regex
 
 #: Entries in the caches of one Python worker, about 200 bytes each: pieces up to this, words up to twice this.
-CACHE_LIMIT = 500_000
+CACHE_LIMIT = 600_000
 RARE_SPACE = re.compile("[\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -45,6 +46,13 @@ class Pieces(dict):
         self[piece] = found = self.resolve(piece)
         return found
 
+    def keep(self, n: int) -> None:
+        """Keep the first n entries: frequent pieces come early."""
+        if len(self) > n:
+            first = list(itertools.islice(self.items(), n))
+            self.clear()
+            self.update(first)
+
 
 class WordCache:
     """Byte strings (any fixed form) of texts, from those of the pattern's matches. Either ``encode_word``
@@ -65,9 +73,9 @@ class WordCache:
         self.tails = Pieces(lambda piece: self.piece(piece, space, self.tails))  # keys without the space that they begin with
 
     def forget(self) -> None:
-        """Empty all caches: workers outlive their tasks."""
+        """Keep only what came first: workers outlive their tasks."""
         for cache in (self.words, self.heads, self.tails):
-            cache.clear()
+            cache.keep(self.limit // 5)
 
     def piece(self, piece: str, space: str, cache: Pieces) -> bytes:
         """The string of a piece, which is to be kept in ``cache``."""
@@ -84,7 +92,7 @@ class WordCache:
         """One byte string for each text: the words' strings, joined."""
         for cache, limit in ((self.words, 2 * self.limit), (self.heads, self.limit // 4), (self.tails, self.limit)):
             if len(cache) > limit:
-                cache.clear()
+                cache.keep(limit // 4)
         if self.encode_words:
             return self._encode_together(texts)
         head, tail = self.heads.__getitem__, self.tails.__getitem__
