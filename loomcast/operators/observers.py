@@ -26,6 +26,7 @@ class Notifier:
         self.observers, self.progress, self.interval, self.progress_timeout = observers, progress, interval, progress_timeout
         self.done = 0
         self.reports: set[asyncio.Task] = set()
+        self.last: asyncio.Task | None = None
 
     async def event(self, event: str, **data) -> None:
         for o in self.observers:
@@ -36,15 +37,18 @@ class Notifier:
 
     def item_done(self, item_id: str) -> None:
         """Every ``interval`` items ``progress(items done by this partition, item_id)`` is called beside the work: an
-        async function as a task, another one in a thread, given up after its time."""
+        async function as a task, another one in a thread, given up after its time. A call begins when the one
+        before it has ended or is given up, so counts come in order."""
         self.done += 1
         if self.progress and self.done % self.interval == 0:
-            task = asyncio.ensure_future(self._report(self.done, item_id))
+            self.last = task = asyncio.ensure_future(self._report(self.done, item_id, self.last))
             self.reports.add(task)
             task.add_done_callback(self.reports.discard)
 
-    async def _report(self, done: int, item_id: str) -> None:
+    async def _report(self, done: int, item_id: str, before: asyncio.Task | None) -> None:
         f = self.progress
+        if before:
+            await asyncio.wait([before])
         try:
             call = f(done, item_id) if asyncio.iscoroutinefunction(f) else in_thread(f, done, item_id)
             await asyncio.wait_for(call, self.progress_timeout)
@@ -52,5 +56,6 @@ class Notifier:
             pass
 
     async def finish(self) -> None:
+        """Waits for the reports that are still open, for each up to its time."""
         if self.reports:
-            await asyncio.wait(self.reports, timeout=self.progress_timeout)
+            await asyncio.wait(self.reports)
