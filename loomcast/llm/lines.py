@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcast.llm.shared import discard, written
+from loomcast.llm.shared import discard, each, written
 
 CELLS = 1 << 14
 HASH_BITS = 56
@@ -43,17 +43,17 @@ def with_words(lines: DataFrame) -> DataFrame:
 def with_hashes(lines: DataFrame, shingle: int) -> DataFrame:
     """``lines`` with ``hashes``, the hashes of the shingles of ``words``; repeats included. No word, no hash."""
     # Each word is hashed once; a shingle's hash is that of its words' hashes.
-    n = F.greatest(F.size("coded") - (shingle - 1), F.lit(0))
-    starts = F.slice("coded", F.lit(1), n)
-    runs = F.transform(starts, lambda first, i: F.xxhash64(first, *[F.get("coded", i + k) for k in range(1, shingle)]))
+    n = F.size("coded")
+    starts = F.sequence(F.lit(0), F.greatest(n - shingle, F.lit(0)))
+    runs = each(starts, "integer", lambda i: F.xxhash64(*[F.get("coded", i + k) for k in range(shingle)]))
     whole = F.array(F.xxhash64("coded"))
-    hashes = F.when(n > 1, runs).when(F.size("coded") > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.when(n > shingle, runs).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
     return _coded(lines).withColumn("hashes", hashes).drop("coded")
 
 
 def _coded(lines: DataFrame) -> DataFrame:
     """``lines`` with ``coded``, the hashes of ``words``, in their place."""
-    return lines.withColumn("coded", F.transform("words", lambda word: F.xxhash64(word))).drop("words")
+    return lines.withColumn("coded", each(F.col("words"), "string", lambda word: F.xxhash64(word))).drop("words")
 
 
 def rarity_counts(docs: DataFrame, shingle: int, text_column: str = "text") -> dict[int, int]:
@@ -85,9 +85,10 @@ def _by_rarity(ranks: bytes) -> Column:
     table = F.split(F.lit(",".join(str(r << HASH_BITS) for r in ranks)), ",").cast("array<bigint>")  # folded to one literal
 
     def token(h: Column) -> Column:
-        return F.get(table, h.bitwiseAND(CELLS - 1)).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
+        rank = F.coalesce(F.get(table, h.bitwiseAND(CELLS - 1)), F.lit(0))  # never null, which sorts as primitive longs
+        return rank.bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
 
-    return F.sort_array(F.array_distinct(F.transform("hashes", token)))  # compiled, unlike array_sort
+    return F.sort_array(F.array_distinct(each(F.col("hashes"), "long", token)))  # compiled, unlike array_sort
 
 
 def _least_shared(n: Column, m: Column, threshold: float) -> Column:

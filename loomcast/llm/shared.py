@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def each(array: Column, element: str, function) -> Column:
+    """``F.transform`` of an array of ``element`` ("string", "integer", "long") without nulls, in compiled code.
+
+    Spark interprets the lambdas of its functions on arrays, at some 0.2 microseconds an element; the loop that it
+    compiles for the fields of its datasets has no public name. Where a version or a remote session does not have that
+    either, ``F.transform`` gives the same values."""
+    spark = SparkSession.getActiveSession()
+    try:
+        columns = getattr(spark._jvm, "org.apache.spark.sql.classic.ExpressionUtils")
+        objects = spark._jvm.org.apache.spark.sql.catalyst.expressions.objects
+        kind = spark._jvm.org.apache.spark.sql.types.DataType.fromJson(f'"{element}"')
+        item = objects.LambdaVariable("item", kind, False, uuid.uuid4().int >> 66)  # an id of its own, of 62 bits
+        loop = getattr(getattr(objects, "MapObjects$"), "MODULE$")
+        made = columns.expression(function(Column(columns.column(item)))._jc)
+        return Column(columns.column(loop.apply(item, made, columns.expression(array._jc), spark._jvm.scala.Option.empty())))
+    except (AttributeError, TypeError, Py4JError):
+        return F.transform(array, function)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

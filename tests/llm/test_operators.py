@@ -334,6 +334,21 @@ def test_lines_of_rows_without_an_id_of_their_own(spark):
     assert sum(r.n_removed for r in found) == 5
 
 
+def test_lines_are_hashed_in_compiled_code(spark):
+    make, _ = prose(0)
+    texts = ["", " ", *[make(n) for n in range(1, 14)], "a  a\ta a a a\ra ", "\u00e9 \u4e2d " * 9, make(300)]
+    words = lines.with_words(spark.createDataFrame([(t,) for t in texts], "line string"))
+    found = lines.with_hashes(words.withColumn("kept", F.col("words")), 5)
+    found = found.withColumn("tokens", lines._by_rarity(bytes(k % 128 for k in range(lines.CELLS))))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "mapobjects" in plan
+    coded = F.transform("kept", lambda w: F.xxhash64(w))  # nulls beyond the end leave a hash as it is
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("kept") - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get(coded, i + k) for k in range(5)]))
+    for r in found.select("kept", "hashes", "tokens", runs.alias("expected")).collect():
+        assert r.hashes == (r.expected if r.kept else [])
+        assert r.tokens == sorted({((h & (lines.CELLS - 1)) % 128 << 56) | (h & ((1 << 56) - 1)) for h in r.hashes})
+
+
 def test_substrings(spark, monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK_WORDS", 150)
     monkeypatch.setattr(substrings, "BYTES_AT_ONCE", 64)
