@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.shared import append_column, give_back
+from loomcast.llm.shared import append_column, giving_back
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
@@ -128,11 +128,10 @@ def train(docs: DataFrame, text_column: str = "text", label_column: str = "lang"
         for label, s in sums.items():
             for k in range(0, BUCKETS, 4096):
                 yield pa.RecordBatch.from_pydict({"label": [label], "at": [k], "counts": [s[k : k + 4096].tolist()]})
-        give_back()
 
     one = F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda k: F.lit(0.0))
     found = (
-        rows.mapInArrow(count, "label string, at long, counts array<double>")
+        rows.mapInArrow(giving_back(count), "label string, at long, counts array<double>")
         .groupBy("label", "at")
         .agg(F.aggregate(F.collect_list("counts"), one, lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("counts"))
         .orderBy("label", "at")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loomcast.llm.graph import TileReader, components, forest, group_bounds, in_groups, small_and_tiled, stored_tiles, tile_pairs
 from loomcast.llm.lines import numbered
-from loomcast.llm.shared import append_column, discard, give_back, open_fs, partitions, put_file, shared_folder, text_of, written
+from loomcast.llm.shared import append_column, discard, giving_back, open_fs, partitions, put_file, shared_folder, text_of, written
 from loomcast.llm.simhash import mixed, near_pairs, shingle_hashes
 
 PARTS = 8
@@ -169,9 +169,8 @@ def _store_sets(rows: DataFrame, width: int, file_bytes: int = 32 << 20) -> tupl
                     size = 0
         if found:
             yield flush()
-        give_back()
 
-    return written(rows.select("node", "t").mapInArrow(run, "node long, uri string, at long, n long"), "places-of-sets"), folder
+    return written(rows.select("node", "t").mapInArrow(giving_back(run), "node long, uri string, at long, n long"), "places-of-sets"), folder
 
 
 def _tile_links(reps: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
@@ -203,9 +202,8 @@ def _tile_links(reps: DataFrame, radius: int, similarity: float | None = None) -
                 a, b = _links(sides[0], sides[1] if len(sides) > 1 else None, radius, check if similarity else None)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        give_back()
 
-    links = written(pairs.mapInArrow(compare, "a long, b long").distinct(), "links")
+    links = written(pairs.mapInArrow(giving_back(compare), "a long, b long").distinct(), "links")
     discard(reps.sparkSession, tiles, folder)
     return links
 

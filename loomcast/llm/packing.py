@@ -21,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcast.llm.shared import give_back, text_of
+from loomcast.llm.shared import giving_back, text_of
+from loomcast.llm.words import CACHE_LIMIT
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -99,19 +100,20 @@ class TierPacker:
             self.next_group += groups
 
 
-def pack(docs: DataFrame, tokenizer: str, context: int = 2048, end_id: int = 1, step_tokens: int = 32_768, window_tokens: int = 2_000_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, context: int = 2048, end_id: int = 1, step_tokens: int = 32_768, window_tokens: int = 2_000_000, id_column: str = "doc_id", text_column: str = "text", cache_limit: int = CACHE_LIMIT) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset, tier, step_group.
 
     ``context`` is a power of two. Null or empty texts have the end id alone; null ids and repeated
-    rows are packed like others; other columns are left out; an empty table gives no rows."""
+    rows are packed like others; other columns are left out; an empty table gives no rows. ``cache_limit`` bounds the
+    word cache of each worker; a smaller one takes less memory and more time, and gives the same ids."""
     if context < 1 or context & (context - 1):
         raise ValueError("context must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from loomcast.llm.tokenizers_lib import library_encoder
 
-        encoder = library_encoder(tokenizer)
+        encoder = library_encoder(tokenizer, cache_limit)
         packer = TierPacker(context, TaskContext.get().partitionId() << 40, step_tokens)
         end = np.array([end_id], "<u4").tobytes()
 
@@ -134,9 +136,8 @@ def pack(docs: DataFrame, tokenizer: str, context: int = 2048, end_id: int = 1,
         encoder.forget()
         packer.pack(last=True)
         yield from out()
-        give_back()
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(giving_back(run), SCHEMA)
 
 
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]

@@ -7,7 +7,9 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,14 +65,26 @@ def discard(spark: SparkSession, *tables: DataFrame | str, collect: bool = True)
 
 def give_back() -> None:
     """Hand the memory that a task has freed back to the system: workers outlive their tasks, and other stages'
-    workers need it. Does nothing where the C library has no such call."""
+    workers need it. Arrow's allocator keeps what batches had, the C library what Python had; where the latter has no
+    such call, its part stays."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, then ``give_back`` when nothing of it is left, its last batch included."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return over
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI: local, HDFS, S3 or whatever pyarrow knows."""
     from pyarrow import fs
@@ -133,7 +147,6 @@ def append_column(df: DataFrame, given: Column, run, name: str, kind: str, step:
     """``df`` with a column ``name``, which ``run`` makes from lists of ``given``'s values, ``step`` rows
     at a time. A column of that name is replaced; others may have any names, repeated ones too."""
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-    import pyarrow as pa
 
     kept = [(k, c) for k, c in enumerate(df.columns) if c.lower() != name.lower()]
     rows = df.select("*", given.alias("given")).toDF(*[f"c{k}" for k in range(len(df.columns))], "given")
@@ -146,6 +159,5 @@ def append_column(df: DataFrame, given: Column, run, name: str, kind: str, step:
             for k in range(0, len(batch), step):
                 part = batch.slice(k, step)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], run(part.columns[-1].to_pylist())], names=[*part.schema.names[:-1], "made"])
-        give_back()
 
-    return rows.mapInArrow(over, schema).toDF(*[c for _, c in kept], name)
+    return rows.mapInArrow(giving_back(over), schema).toDF(*[c for _, c in kept], name)

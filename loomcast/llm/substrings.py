@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from loomcast.llm.graph import group_bounds, in_groups
-from loomcast.llm.shared import give_back, open_fs, partitions, put_file, shared_folder, written
+from loomcast.llm.shared import giving_back, open_fs, partitions, put_file, shared_folder, written
 
 CHUNK_WORDS = 500_000
 BYTES_AT_ONCE = 1 << 21
@@ -50,7 +50,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n - 1 of the word base and of its inverse modulo 2^64."""
+    """Powers 0 to n - 1 of the word base and of its inverse modulo 2^64; some 32 MB, which tasks drop at their end."""
     inverse = np.uint64(pow(int(WORD_BASE), -1, 1 << 64))
     return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b)], dtype="u8") for b in (WORD_BASE, inverse))
 
@@ -186,7 +186,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_column: str = "text",
                     chunk = Chunk(words, window, buckets)
                     some = np.flatnonzero(np.diff(chunk.bounds))
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), unit), pa.int64()), pa.array(np.full(len(some), number), pa.int64()), pa.array([squeezed(chunk.unique[a:b]) for a, b in zip(chunk.bounds[some], chunk.bounds[some + 1], strict=True)], pa.binary())], names=["bucket", "unit", "chunk", "hashes"])
-        give_back()
+        powers.cache_clear()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in in_groups(batches, 1):
@@ -220,8 +220,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_column: str = "text",
                 yield pa.RecordBatch.from_pydict({"unit": [unit]})
 
     n = partitions(spark)
-    hashes = units.mapInArrow(send, "bucket long, unit long, chunk long, hashes binary")
-    answers = hashes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "unit long, chunk long, bucket long, bits binary")
+    hashes = units.mapInArrow(giving_back(send), "bucket long, unit long, chunk long, hashes binary")
+    answers = hashes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(compare), "unit long, chunk long, bucket long, bits binary")
     answered = written(answers.repartition(n, "unit").sortWithinPartitions("unit", "chunk").mapInArrow(store, "unit long"), "answered")
 
     fields = [*plain.schema.fields, *new]
@@ -258,10 +258,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_column: str = "text",
                         done += len(part)
                         columns = [*part.columns, *(pa.array(c, arrow.field(len(names) + k).type) for k, c in enumerate(zip(*some, strict=True)))]
                         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-        give_back()
+        powers.cache_clear()
 
     with_answers = units.join(answered.select(F.col("unit").alias("answer")), F.col("unit") == F.col("answer"), "left").select("uri", "answer").repartition(n, "uri")
-    out = with_answers.mapInArrow(remove, StructType(fields))
+    out = with_answers.mapInArrow(giving_back(remove), StructType(fields))
     if at is None:
         out = out.drop("given")
     return out.toDF(*kept_columns, *[f.name for f in new])

@@ -9,7 +9,7 @@ from struct import pack
 
 import numpy as np
 
-from loomcast.llm.words import WordCache, byte_symbols
+from loomcast.llm.words import CACHE_LIMIT, WordCache, byte_symbols
 
 #: The split of byte-level vocabularies (tokenizers' ByteLevel with use_regex); a fixed value.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -22,9 +22,9 @@ class LibraryEncoder:
     Byte-level files without a normalizer are split by the byte-level pattern, and files whose
     normalizer collapses white space and lower-cases are split by their own pattern; in both, each
     distinct word goes through the library's BPE model once. Texts that hold an added token's
-    string, and words beyond Latin-1 in normalized files, go through the library as they are."""
+    string, and words beyond Latin-1 in normalized files, go through the library as they are. ``limit`` is the word cache's; it changes no id."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_LIMIT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -38,12 +38,12 @@ class LibraryEncoder:
         pre = spec["pre_tokenizer"]
         self.normalized = spec["normalizer"] is not None
         if not self.normalized and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
-            self.cache = WordCache(BYTE_LEVEL_PATTERN, self._ids)
+            self.cache = WordCache(BYTE_LEVEL_PATTERN, self._ids, limit=limit)
         elif self.normalized:
             import regex
 
             self.split = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"]).findall
-            self.cache = WordCache(r"\S+", self._normalized, space="")
+            self.cache = WordCache(r"\S+", self._normalized, limit=limit, space="")
         else:
             raise ValueError(f"{path}: unknown pre-tokenizer")
 
@@ -80,5 +80,5 @@ class LibraryEncoder:
 
 
 @functools.cache
-def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def library_encoder(path: str, limit: int = CACHE_LIMIT) -> LibraryEncoder:
+    return LibraryEncoder(path, limit)

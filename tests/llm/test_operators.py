@@ -4,16 +4,19 @@ import base64
 import collections
 import hashlib
 import random
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import public_tokenizers as P  # noqa: E402
 
-from loomcast.llm import bpe, embeddings, graph, langid, lines, mpeg, near_documents, packing, records, simhash, substrings, warc  # noqa: E402
+from loomcast.llm import bpe, embeddings, graph, langid, lines, mpeg, near_documents, packing, records, shared, simhash, substrings, warc  # noqa: E402
 from loomcast.llm.queries import BYTE_BPE, MULTI_BPE, WORD_BPE  # noqa: E402
 
 PARTS = ["the", "of", "and", "é", "ß", "中文", " ", "  ", "\n", " \n ", "'s", "12", "!!", "😀", "\x1c", "İ", "<|endoftext|>", "\t", "a" * 400, " ", "é"]
@@ -76,6 +79,44 @@ def test_library_ids(spark):
         assert [np.frombuffer(x, "<u4").tolist() for x in LibraryEncoder(path).encode(rows)] == expected
 
 
+def test_a_small_word_cache_changes_no_id_and_stays_small(spark):
+    from loomcast.llm.tokenizers_lib import LibraryEncoder
+
+    make, _ = prose(0)
+    rows = [make(400) for _ in range(30)]
+    for path in (BYTE_BPE, WORD_BPE):
+        large, small = LibraryEncoder(path), LibraryEncoder(path, limit=100)
+        for t in rows:  # at most one text's words are beyond the limit
+            assert small.encode([t]) == large.encode([t])
+            assert len(small.cache.tails) <= 100 + 400 and len(small.cache.heads) <= 100 and len(small.cache.words) <= 200 + 400
+        assert len(large.cache.tails) > 1000
+        small.forget()
+        assert max(map(len, (small.cache.words, small.cache.heads, small.cache.tails))) <= 20
+    docs = table(spark, texts() + rows)
+    packed = [packing.pack(docs, BYTE_BPE, context=64, window_tokens=500, **cache).collect() for cache in ({}, {"cache_limit": 10})]
+    assert packed[0] == packed[1]
+
+
+def anonymous_mb():
+    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory can't be read here")
+def test_tasks_give_back_what_their_batches_had():
+    def run(batches):
+        for batch in batches:
+            yield batch
+
+    made = (pa.record_batch([pa.array([b"x" * (1 << 16)])], names=["a"]) for _ in range(1))
+    before = anonymous_mb()
+    held = [pa.array([b"x" * (1 << 16)]) for _ in range(2048)]
+    full = anonymous_mb()
+    assert full > before + 100
+    del held
+    assert sum(len(b) for b in shared.giving_back(run)(made)) == 1
+    assert anonymous_mb() < before + 40
+
+
 def test_bpe(spark):
     import tiktoken
 
