@@ -7,7 +7,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from py4j.protocol import Py4JError
@@ -46,6 +46,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def written_in_parts(parts: Iterable[DataFrame], what: str) -> DataFrame:
+    """``written`` of all ``parts`` together, one after the other: shuffle files of a part go before the next one's are
+    made, so the disk holds those of one."""
+    out = None
+    for part in parts:
+        if out is None:
+            out = written(part, what)
+        else:
+            part.write.mode("append").parquet(out.loom_folder)
+        discard(part.sparkSession)
+    again = out.sparkSession.read.schema(out.schema).parquet(out.loom_folder)  # files are listed when it is made
+    again.loom_folder = out.loom_folder
+    return again
+
+
 #: Folders that this process has named and not discarded, in order.
 FOLDERS: list[str] = []
 

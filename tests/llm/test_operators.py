@@ -471,3 +471,24 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} >= set(range(20)) - {0} and not {51, 52} & {r.doc_id for r in out}
+
+
+def test_lines_that_share_a_token_by_chance_take_no_token_sets(spark, monkeypatch):
+    """Each line shares half of its shingles with the next and is similar to none; one near copy goes."""
+    rows = {}
+    keep = lines.written_in_parts
+
+    def counted(parts, what):
+        out = keep(parts, what)
+        rows[what] = rows.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lines, "written_in_parts", counted)
+    phrases = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(40)]
+    texts = [f"{phrases[k]} {phrases[(k + 1) % 40]}" for k in range(40)]
+    copy = texts[7] + " end"
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, copy])], "doc_id long, text string")
+    found = {r["doc_id"]: r["n_removed"] for r in lines.removed_lines(docs).collect()}
+    assert found == {k: int(k == 40) for k in range(41)}
+    assert rows["line-sets"] == 41 and rows["shared-postings"] > 0
+    assert rows["whole-lines"] <= 4  # the copy and its first, once for each of the two rounds; before: all 41
