@@ -149,16 +149,31 @@ def prometheus(rows: DataFrame) -> DataFrame:
     return blocks.agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("text"))
 
 
+def _range_of(order: Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` are at most ``order``, by halves; nulls come after all."""
+
+    def within(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(order < F.lit(bounds[mid]), within(lo, mid)).otherwise(within(mid + 1, hi))
+
+    return F.when(order.isNull(), len(bounds) + 1).otherwise(within(0, len(bounds)))
+
+
 def progress_points(rows: DataFrame, order: str, interval: int = 10) -> DataFrame:
-    """item_id, completed, total at each ``interval``-th row in order. Running numbers are made from counts of
-    ranges of ``order``, so no task holds all rows."""
+    """item_id, completed, total at each ``interval``-th row by the number ``order``, nulls last, and among equal ones
+    by item_id. Running numbers are made from counts of ranges of ``order``, so no task holds all rows. The
+    ranges' bounds are fixed once: Spark's own ranges are sampled anew, with other bounds, each time they are made."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("item_id", order).repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
+    rows = rows.select("item_id", order)
+    found = rows.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
+    dealt = rows.withColumn("part", _range_of(F.col(order), sorted(set(found or ()))))
     sizes = dealt.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
     total = rows.agg(F.count("*").alias("total"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col(order).asc_nulls_last(), "item_id"))
     numbered = dealt.withColumn("place", place).join(F.broadcast(before), "part").withColumn("completed", F.col("place") + F.col("before"))
     return numbered.where(F.col("completed") % interval == 0).join(F.broadcast(total)).select("item_id", "completed", "total")
 

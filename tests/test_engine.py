@@ -148,3 +148,18 @@ def test_stream(spark, tmp_path):
 
 def test_simulated_endpoint_is_what_sql_says():
     assert SimulatedEndpoint().for_item("doc_0", 1).bucket(1) == int(__import__("hashlib").md5(b"doc_0:1:1").hexdigest()[:8], 16) % 100
+
+
+def test_progress_points_number_rows_by_ranges_that_stay(spark):
+    """The counts before a range are those of the ranges that rows are numbered in, made twice or not."""
+    key = "spark.sql.exchange.reuse"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rows = spark.range(30000).select(((F.col("id") * 7919) % 30011).alias("n")).withColumn("item_id", F.concat(F.lit("i"), "n")).repartition(3)
+        rows = rows.union(spark.createDataFrame([(None, "none"), (5, "i5b")], "n long, item_id string"))
+        found = {(r.completed, r.item_id, r.total) for r in stats.progress_points(rows, "n", 7).collect()}
+        order = sorted(((r.n is None, r.n or 0, r.item_id) for r in rows.collect()))
+    finally:
+        spark.conf.set(key, was)
+    assert found == {(k, o[2], 30002) for k, o in enumerate(order, 1) if k % 7 == 0}
