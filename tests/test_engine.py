@@ -163,3 +163,27 @@ def test_progress_points_number_rows_by_ranges_that_stay(spark):
     finally:
         spark.conf.set(key, was)
     assert found == {(k, o[2], 30002) for k, o in enumerate(order, 1) if k % 7 == 0}
+
+
+def test_nearest_compares_tiles_and_equals_all_pairs(spark, monkeypatch):
+    """Small tiles; copies, zero and null vectors, other lengths and nulls in them: what a join of rows gives."""
+    import random
+
+    from pyspark.sql import Window
+
+    from loomcast.operators import items as I
+
+    rng = random.Random(3)
+    rows = [(k, [float(rng.randint(-2, 2)) for _ in range(4)]) for k in range(300)]
+    rows += [(k, [1.0, 2.0, 3.0, 4.0]) for k in range(300, 400)]
+    rows += [(400, [0.0] * 4), (401, None), (402, [1.0, None, 2.0, 3.0]), (403, [1.0, 2.0]), (410, [2.0, 4.1]), (405, []), (None, [1.0] * 4), (406, [float("nan")] + [1.0] * 3)]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = base.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    monkeypatch.setattr(I, "TILE", 64)
+    found = I.nearest(queries, base, 3)
+    assert "zip_with" not in found._jdf.queryExecution().toString() and "MapInArrow" in found._jdf.queryExecution().toString()
+    scored = base.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(I.cosine("query", "embedding"), 6).alias("score")).where("score is not null")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    said = scored.withColumn("rank", rank).where("rank <= 3")
+    assert sorted(map(str, found.collect())) == sorted(map(str, said.collect()))
+    assert found.schema == said.schema or found.dtypes == said.dtypes
