@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import time
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -61,6 +62,12 @@ def open_items(items: DataFrame, log: DataFrame, max_attempts: int, max_generati
     return both.withColumn("generation", F.coalesce(F.col("last.generation") + limited.cast("int"), F.lit(1))).withColumn("attempt", F.when(F.col("last").isNull() | limited, 1).otherwise(F.col("last.attempt") + 1)).withColumn("failures", F.coalesce("n_failed", F.lit(0))).drop("last", "n_failed")
 
 
+def _delete(spark, *folders: str) -> None:
+    for f in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run_rounds(items: DataFrame, path: str, strategies: dict[str, Strategy], config: EngineConfig = EngineConfig(), max_rounds: int | None = None) -> DataFrame:
     """The attempt log at ``path`` once no item is open. Items that are open after ``max_rounds`` are an error; what
     was called for stays in the log, so another run goes on from there."""
@@ -68,26 +75,38 @@ def run_rounds(items: DataFrame, path: str, strategies: dict[str, Strategy], con
     once = replace(config, retry=replace(config.retry, max_attempts=1) if config.retry.max_attempts > 1 else RetryConfig(max_attempts=1), max_generations=None)
     single = {k: OneAttempt(s) for k, s in strategies.items()}
     consecutive = 0
-    for number in itertools.count(1):
-        todo = open_items(items, read_attempts(spark, path), config.retry.max_attempts, config.max_generations)
-        tagged = todo.withColumn("item_id", F.concat_ws("\x1f", "item_id", F.col("generation").cast("string"), F.col("attempt").cast("string")))
-        # One attempt each: a rate limit ends it, too.
-        found = infer(tagged, single, replace(once, max_generations=1, rate_limit=replace(once.rate_limit, cooldown_seconds=0.0)))
-        parts = F.split("item_id", "\x1f")
-        n = F.size(parts)
-        found = found.withColumn("generation", F.element_at(parts, -2).cast("int")).withColumn("attempt", F.element_at(parts, -1).cast("int")).withColumn("item_id", F.array_join(F.slice(parts, 1, n - 2), "\x1f"))
-        limited = F.col("error.is_rate_limit")
-        capped = F.lit(False) if config.max_generations is None else F.col("generation") >= config.max_generations
-        state = F.when(F.col("state") == "success", "success").when(limited & ~capped, "rate_limited").when(limited, "exhausted").when(F.col("error.is_retryable") & (F.col("attempt") < config.retry.max_attempts), "retry").when(F.col("error.is_retryable"), "exhausted").otherwise("failed_final")
-        append_attempts(found.withColumn("state", state), path)
-        log = read_attempts(spark, path)
-        left = open_items(items, log, config.retry.max_attempts, config.max_generations).agg(F.count("*").alias("n"), F.count_if(F.col("attempt") == 1).alias("limited"), F.min(F.when(F.col("attempt") > 1, F.col("attempt"))).alias("next")).first()
-        if not left["n"]:
-            break
-        if number == max_rounds:
-            raise RuntimeError(f"{left['n']} items are open after {max_rounds} rounds")
-        limit = config.rate_limit
-        consecutive = consecutive + 1 if left["limited"] else 0
-        pause = min(limit.cooldown_seconds * limit.backoff_multiplier ** (consecutive - 1), limit.max_cooldown) if consecutive else config.retry.wait(left["next"] - 1)
-        time.sleep(pause * config.time_scale)
+    left_over: list[str] = []
+    rest = items
+    try:
+        for number in itertools.count(1):
+            todo = open_items(rest, read_attempts(spark, path), config.retry.max_attempts, config.max_generations)
+            if number > 1:
+                # What is open is written, and the next round chooses from that: an item's text is moved once for each attempt.
+                left_over.append(f"{path.rstrip('/')}-open-{uuid.uuid4().hex}")
+                todo.write.parquet(left_over[-1])
+                todo = spark.read.schema(todo.schema).parquet(left_over[-1])
+                rest = todo.select(*[F.col(f"`{c}`") for c in items.columns])
+                if len(left_over) > 1:
+                    _delete(spark, left_over.pop(0))
+                left = todo.agg(F.count("*").alias("n"), F.count_if(F.col("attempt") == 1).alias("limited"), F.min(F.when(F.col("attempt") > 1, F.col("attempt"))).alias("next")).first()
+                if not left["n"]:
+                    break
+                if max_rounds is not None and number > max_rounds:
+                    raise RuntimeError(f"{left['n']} items are open after {max_rounds} rounds")
+                limit = config.rate_limit
+                consecutive = consecutive + 1 if left["limited"] else 0
+                pause = min(limit.cooldown_seconds * limit.backoff_multiplier ** (consecutive - 1), limit.max_cooldown) if consecutive else config.retry.wait(left["next"] - 1)
+                time.sleep(pause * config.time_scale)
+            tagged = todo.withColumn("item_id", F.concat_ws("\x1f", "item_id", F.col("generation").cast("string"), F.col("attempt").cast("string")))
+            # One attempt each: a rate limit ends it, too.
+            found = infer(tagged, single, replace(once, max_generations=1, rate_limit=replace(once.rate_limit, cooldown_seconds=0.0)))
+            parts = F.split("item_id", "\x1f")
+            n = F.size(parts)
+            found = found.withColumn("generation", F.element_at(parts, -2).cast("int")).withColumn("attempt", F.element_at(parts, -1).cast("int")).withColumn("item_id", F.array_join(F.slice(parts, 1, n - 2), "\x1f"))
+            limited = F.col("error.is_rate_limit")
+            capped = F.lit(False) if config.max_generations is None else F.col("generation") >= config.max_generations
+            state = F.when(F.col("state") == "success", "success").when(limited & ~capped, "rate_limited").when(limited, "exhausted").when(F.col("error.is_retryable") & (F.col("attempt") < config.retry.max_attempts), "retry").when(F.col("error.is_retryable"), "exhausted").otherwise("failed_final")
+            append_attempts(found.withColumn("state", state), path)
+    finally:
+        _delete(spark, *left_over)
     return read_attempts(spark, path)

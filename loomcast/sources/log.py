@@ -30,7 +30,8 @@ def read_attempts(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
-        return spark.createDataFrame([], schema)
+        # A relation that is known to be empty, so that joins with it shuffle nothing.
+        return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in schema) + " LIMIT 0")
 
 
 def append_attempts(attempts: DataFrame, path: str) -> None:

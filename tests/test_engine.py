@@ -187,3 +187,13 @@ def test_nearest_compares_tiles_and_equals_all_pairs(spark, monkeypatch):
     said = scored.withColumn("rank", rank).where("rank <= 3")
     assert sorted(map(str, found.collect())) == sorted(map(str, said.collect()))
     assert found.schema == said.schema or found.dtypes == said.dtypes
+
+
+def test_a_log_that_is_not_there_moves_no_items(spark, tmp_path):
+    """Nothing is joined with a log that does not exist yet, so the items' texts are not shuffled."""
+    from loomcast.sources.log import read_attempts, remaining
+
+    given = items(spark, ["a", "b"])
+    assert read_attempts(spark, str(tmp_path / "none")).schema.simpleString() == spark.createDataFrame([], catalogue.attempt_table(spark, SMALL).schema).schema.simpleString()
+    plan = remaining(given, spark, str(tmp_path / "none"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
